@@ -1,0 +1,33 @@
+"""Every registered query against its SQL on the given tables: columns, types and values, exactly."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as driver
+from tests.compare import connect, spark_result, sql_result
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    with connect(sf_dir) as connection:
+        yield connection
+
+
+def test_every_query_has_sql():
+    assert set(driver.queries()) == set(driver.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_query_matches_sql(spark, con, sf_dir, name):
+    kinds, rows = spark_result(driver.queries()[name](spark, sf_dir))
+    sql_kinds, sql_rows = sql_result(con, driver.oracle_sql()[name])
+    assert kinds == sql_kinds
+    assert sum(rows.values()) > 0
+    assert rows == sql_rows
+
+
+def test_entry_runs(spark):
+    df = driver.entry(spark)
+    assert df.columns[:4] == ["year", "diag_group", "diag_label", "age_band"]
+    assert not df.isEmpty()
