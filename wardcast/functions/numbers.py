@@ -20,10 +20,18 @@ def null_if_not_finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def _double_from_text(value: Column) -> Column:
+    """The careful reading of text; infinity is left to the caller's cast or comparison to refuse."""
+    return F.when(value.rlike(PLAIN_NUMBER), value.try_cast("double"))
+
+
 def parse_double(value: Column, dtype: T.DataType) -> Column:
-    """Number or NULL. Text must look like a plain number; numeric columns pass through."""
+    """Number or NULL. Text must look like a plain number; numeric columns pass through.
+
+    Whole numbers, the usual case, are read first, so the pattern is tried on the rest only.
+    """
     if isinstance(dtype, T.StringType):
-        return null_if_not_finite(F.when(value.rlike(PLAIN_NUMBER), value.try_cast("double")))
+        return F.coalesce(value.try_cast("int").cast("double"), null_if_not_finite(_double_from_text(value)))
     return null_if_not_finite(value.try_cast("double"))
 
 
@@ -31,15 +39,19 @@ def parse_whole(value: Column, dtype: T.DataType) -> Column:
     """Integer or NULL; a fractional number is NULL. Text such as ``1e2`` counts as 100."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
         return value.cast("int")
-    number = parse_double(value, dtype)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    text = isinstance(dtype, T.StringType)
+    number = _double_from_text(value) if text else value.try_cast("double")
+    whole = F.when(number == F.floor(number), number.try_cast("int"))
+    return F.coalesce(value.try_cast("int"), whole) if text else whole
 
 
 def parse_int(value: Column, dtype: T.DataType) -> Column:
     """Nearest integer (ties away from zero) or NULL."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
         return value.cast("int")
-    return F.round(parse_double(value, dtype), 0).try_cast("int")
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(value.try_cast("int"), F.round(_double_from_text(value), 0).try_cast("int"))
+    return F.round(value.try_cast("double"), 0).try_cast("int")
 
 
 def parse_decimal(value: Column, dtype: T.DataType, precision: int = 15, scale: int = 2) -> Column:

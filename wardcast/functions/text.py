@@ -8,28 +8,28 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Beyond this many spellings per prefix the plain upper-case test is cheaper than the OR chain.
-MAX_SPELLINGS = 16
+def _spellings(prefix: str) -> list[str]:
+    return ["".join(chars) for chars in product(*[sorted({ch.upper(), ch.lower()}) for ch in prefix])]
 
 
-def _spellings(prefix: str) -> list[str]:
-    choices = [sorted({ch.upper(), ch.lower()}) for ch in prefix]
-    return ["".join(letters) for letters in product(*choices)]
+def _one_letter_part(prefix: str) -> str:
+    """The prefix up to, but not including, its second letter."""
+    letters = [i for i, ch in enumerate(prefix) if ch.upper() != ch.lower()]
+    return prefix if len(letters) < 2 else prefix[: letters[1]]
 
 
 def starts_with_any(code: Column, prefixes: Iterable[str]) -> Column:
     """True if the code starts with one of the prefixes, ignoring case. The code is not trimmed.
 
-    The test is spelled out on the bare column (``F00`` or ``f00``) because ``upper(code)`` would
-    keep it from reaching the file reader.
+    ``upper(code)`` would keep the test from the file reader. So it is spelled out on the bare
+    column: ``F00`` or ``f00``. Prefixes with more letters are spelled out up to the second one and
+    compared in upper case after that.
     """
     tests: list[Column] = []
     for prefix in dict.fromkeys(p.upper() for p in prefixes):
-        spellings = _spellings(prefix)
-        if len(spellings) > MAX_SPELLINGS:
-            tests.append(F.upper(code).startswith(prefix))
-        else:
-            tests.extend(code.startswith(s) for s in spellings)
+        head = _one_letter_part(prefix)
+        spelled = reduce(or_, [code.startswith(s) for s in _spellings(head)])
+        tests.append(spelled if head == prefix else spelled & F.upper(code).startswith(prefix))
     return reduce(or_, tests)
 
 

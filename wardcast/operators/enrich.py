@@ -24,45 +24,44 @@ from wardcast.spec import CohortSpec
 def enrich(cohort: DataFrame, spec: CohortSpec, *, carry: Sequence[str] = ()) -> DataFrame:
     """Clean columns for whichever landing fields exist, plus the ``carry`` columns unchanged.
 
-    A projection only: labels come from the spec's dictionaries, so nothing is joined or shuffled.
+    Two projections and nothing else: fields are read once in the first, and labels and bands, which
+    look at a value several times, are taken from the typed columns in the second. Labels come from
+    the spec's dictionaries, so nothing is joined or shuffled.
     """
     kinds = {f.name: f.dataType for f in cohort.schema.fields}
-    out: dict[str, Column] = {}
+    typed = {
+        name: READERS.get(name, _text)(F.col(field), kinds[field])
+        for field, name in RAW_TO_CLEAN.items()
+        if field in kinds
+    }
+    derived: dict[str, Column] = {}
+    if "diag_code" in typed:
+        typed["diag_group"] = code_group(F.col("DIAG_PRINC"), spec.group_chars)
+        derived["diag_label"] = lookup(F.col("diag_group"), spec.labels)
+    if "sex_code" in typed:
+        derived["sex_label"] = lookup(F.col("sex_code"), spec.sex_labels)
+    if "age" in typed:
+        # The band is taken from the unrounded age: 59.5 is above 59.
+        typed["age"] = parse_double(F.col("IDADE"), kinds["IDADE"])
+        derived["age_band"] = right_closed_band(F.col("age"), spec.age_edges, spec.age_labels)
+        derived["age"] = F.round("age", 0).try_cast("int")
 
-    def derive(field: str, build) -> None:
-        if field in kinds:
-            out.update(build(F.col(field), kinds[field]))
+    once = cohort.select(*[c.alias(name) for name, c in typed.items()], *carry)
+    ordered = [name for name in CLEAN.fieldNames() if name in typed or name in derived]
+    return once.select(*[derived[n].alias(n) if n in derived else F.col(n) for n in ordered], *carry)
 
-    def diagnosis(code: Column, _: T.DataType) -> dict[str, Column]:
-        group = code_group(code, spec.group_chars)
-        return {"diag_code": code, "diag_group": group, "diag_label": lookup(group, spec.labels)}
 
-    def sex(code: Column, _: T.DataType) -> dict[str, Column]:
-        text = code.cast("string")
-        return {"sex_code": text, "sex_label": lookup(text, spec.sex_labels)}
+def _text(value: Column, _: T.DataType) -> Column:
+    return value.cast("string")
 
-    def years_of_age(age: Column, kind: T.DataType) -> dict[str, Column]:
-        # The band is taken from the unrounded age: 59.5 is above 59.
-        band = right_closed_band(parse_double(age, kind), spec.age_edges, spec.age_labels)
-        return {"age": parse_int(age, kind), "age_band": band}
-
-    def text(name: str):
-        return lambda c, _: {name: c.cast("string")}
-
-    derive("DIAG_PRINC", diagnosis)
-    derive("DIAG_SECUN", text("diag_secondary"))
-    derive("MUNIC_RES", text("residence_code"))
-    derive("ANO_CMPT", lambda c, k: {"year": parse_whole(c, k)})
-    derive("MES_CMPT", lambda c, k: {"month": parse_whole(c, k)})
-    derive("DIAS_PERM", lambda c, k: {"stay_days": parse_int(c, k)})
-    derive("VAL_TOT", lambda c, k: {"total_value": parse_decimal(c, k)})
-    derive("IDADE", years_of_age)
-    derive("SEXO", sex)
-    derive("CNES", text("facility_id"))
-    derive("MORTE", lambda c, k: {"death": parse_int(c, k)})
-
-    ordered = [name for name in CLEAN.fieldNames() if name in out]
-    return cohort.select(*[out[name].alias(name) for name in ordered], *carry)
+
+READERS = {
+    "year": parse_whole,
+    "month": parse_whole,
+    "stay_days": parse_int,
+    "total_value": parse_decimal,
+    "death": parse_int,
+}
 
 
 def rename_fields(df: DataFrame) -> DataFrame:

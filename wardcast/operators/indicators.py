@@ -20,13 +20,13 @@ def yearly_history(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     mean_value = exact_mean(F.col("total_value"), 2) if "total_value" in present else F.lit(None)
     mean_stay = exact_mean(F.col("stay_days"), 2) if "stay_days" in present else F.lit(None)
     return (
-        clean.dropna(subset=["year"])
-        .groupBy(*keys, "year")
+        clean.groupBy(*keys, "year")
         .agg(
             F.count("diag_code").alias("admissions"),
             mean_value.cast("decimal(15,2)").alias("mean_value"),
             mean_stay.cast("decimal(8,2)").alias("mean_stay"),
         )
+        .where(F.col("year").isNotNull())
         .orderBy(*keys, F.col("year").asc_nulls_last())
     )
 
@@ -34,15 +34,17 @@ def yearly_history(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def grouped_admissions(clean: DataFrame, keys: Sequence[str] = VIEW_KEYS) -> DataFrame:
     """Admissions, cost, stay and deaths per year, diagnosis and age band. NULL keys form groups.
 
-    Sums are combined per task before the shuffle, so a group holding most rows costs no more.
+    Sums are combined per task before the shuffle, so a group holding most rows costs no more. The
+    order by year is dropped by Spark where the view feeds another aggregate.
     """
-    return clean.groupBy(*keys).agg(
+    view = clean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("admissions"),
         F.sum("total_value").alias("total_cost"),
         exact_mean(F.col("total_value"), 2).cast("decimal(15,2)").alias("mean_cost"),
         exact_mean(F.col("stay_days"), 1).cast("decimal(8,1)").alias("mean_stay"),
         F.sum("death").alias("deaths"),
     )
+    return view.orderBy(F.col("year").asc_nulls_last())
 
 
 def admissions_by_label(grouped: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def observed_rate(
     """
     counted = F.lit(True) if min_age is None else F.col("age") >= min_age
     admissions = (
-        clean.dropna(subset=["year"]).groupBy(*keys, "year").agg(F.count_if(counted).alias("admissions"))
+        clean.groupBy(*keys, "year").agg(F.count_if(counted).alias("admissions")).where(F.col("year").isNotNull())
     )
     persons = F.col("pop_millions") * F.lit(float(unit))
     rate = F.try_divide(F.col("admissions").cast("double"), persons) * F.lit(1e5)

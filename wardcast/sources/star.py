@@ -7,7 +7,7 @@ orders per region stand for the population. All fields come out as text, as in l
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,29 +84,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _fields() -> dict[str, Column]:
-    line = F.col("l_linenumber")
-    flag = F.col("l_returnflag")
-    return {
-        "DIAG_PRINC": F.col("p_type"),
-        "DIAG_SECUN": F.when(line % 3 == 0, "PROMO").when(line % 3 == 1, "ECONOMY").otherwise(F.col("p_brand")),
-        "MUNIC_RES": F.concat(F.lit("35503"), _text(F.col("s_nationkey") % 10), _text(line % 10)),
-        "IDADE": _text((F.col("l_quantity") * 2).cast("int")),
-        "SEXO": F.when(flag == "A", "1").when(flag == "R", "3").when(flag == "N", "2"),
-        "DIAS_PERM": _text(line),
-        "VAL_TOT": _text(F.col("l_extendedprice").cast("decimal(15,2)")),
-        "MORTE": F.when(F.col("l_linestatus") == "F", "1").otherwise("0"),
-        "ANO_CMPT": _text(F.year("l_shipdate")),
-        "MES_CMPT": _text(F.month("l_shipdate")),
-        "CNES": _text(F.col("l_suppkey")),
-        "region": F.col("n_regionkey"),
-    }
-
-
+def _digit(c: Column) -> Column:
+    return (c % 10).cast("string")
+
+
+FIELDS: dict[str, Callable[[], Column]] = {
+    "DIAG_PRINC": lambda: F.col("p_type"),
+    "DIAG_SECUN": lambda: F.when(F.col("l_linenumber") % 3 == 0, "PROMO")
+    .when(F.col("l_linenumber") % 3 == 1, "ECONOMY")
+    .otherwise(F.col("p_brand")),
+    "MUNIC_RES": lambda: F.concat(F.lit("35503"), _digit(F.col("s_nationkey")), _digit(F.col("l_linenumber"))),
+    "IDADE": lambda: (F.col("l_quantity") * 2).cast("int").cast("string"),
+    "SEXO": lambda: F.when(F.col("l_returnflag") == "A", "1")
+    .when(F.col("l_returnflag") == "R", "3")
+    .when(F.col("l_returnflag") == "N", "2"),
+    "DIAS_PERM": lambda: F.col("l_linenumber").cast("string"),
+    "VAL_TOT": lambda: F.col("l_extendedprice").cast("decimal(15,2)").cast("string"),
+    "MORTE": lambda: F.when(F.col("l_linestatus") == "F", "1").otherwise("0"),
+    "ANO_CMPT": lambda: F.year("l_shipdate").cast("string"),
+    "MES_CMPT": lambda: F.month("l_shipdate").cast("string"),
+    "CNES": lambda: F.col("l_suppkey").cast("string"),
+    "region": lambda: F.col("n_regionkey"),
+}
 _FROM_PART = {"DIAG_PRINC", "DIAG_SECUN"}
 _FROM_SUPPLIER = {"MUNIC_RES", "region"}
 
@@ -131,8 +130,7 @@ def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str]) -> DataF
             .select("s_suppkey", "s_nationkey", "n_regionkey")
         )
         rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    columns = _fields()
-    return rows.select(*[columns[name].alias(name) for name in fields])
+    return rows.select(*[FIELDS[name]().alias(name) for name in fields])
 
 
 def _in_year(date: Column, year: int) -> Column:

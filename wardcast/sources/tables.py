@@ -10,47 +10,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.functions import null_if_not_finite
-from wardcast.schemas import TABLES, TableDef
+from wardcast.schemas import TableDef
 
 
 class DuplicateKeyError(ValueError):
     """A table declared unique on some columns has repeated values in them."""
 
 
-def _conformed(df: DataFrame, field: T.StructField, strict: bool) -> Column:
-    if field.name not in df.columns:
+def _typed(field: T.StructField, kinds: Mapping[str, T.DataType]) -> Column:
+    if field.name not in kinds:
         return F.lit(None).cast(field.dataType)
-    value = F.col(field.name)
-    source = df.schema[field.name].dataType
-    if isinstance(source, (T.FloatType, T.DoubleType)):
+    value, kind = F.col(field.name), kinds[field.name]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
         value = null_if_not_finite(value)
-    if isinstance(source, (T.FloatType, T.DoubleType, T.DecimalType)) and isinstance(field.dataType, T.IntegralType):
-        result = F.round(value, 0).try_cast(field.dataType)
-    else:
-        result = value.try_cast(field.dataType)
-    bad = value.isNotNull() & result.isNull()
+    if isinstance(kind, T.FractionalType) and isinstance(field.dataType, T.IntegralType):
+        return F.round(value, 0).try_cast(field.dataType)
+    return value.try_cast(field.dataType)
+
+
+def conform(df: DataFrame, schema: T.StructType, *, strict: bool = True) -> DataFrame:
+    """The schema's columns, in order and typed. Missing ones are NULL, others are dropped, NaN
+    becomes NULL. A value that does not fit fails the job, or becomes NULL if not ``strict``."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if not any(f.name in kinds for f in schema.fields):
+        raise ValueError(f"none of the expected columns are present: {schema.fieldNames()}")
+    given = {f.name: F.col(f.name).alias(f"{f.name}__given") for f in schema.fields if f.name in kinds}
+    typed = df.select(*[_typed(f, kinds).alias(f.name) for f in schema.fields], *given.values())
+    return typed.select(*[_fitting(f, kinds, strict).alias(f.name, metadata=dict(f.metadata)) for f in schema.fields])
+
+
+def _fitting(field: T.StructField, kinds: Mapping[str, T.DataType], strict: bool) -> Column:
+    """The typed value if it says what was given, else an error or NULL."""
+    result = F.col(field.name)
+    if field.name not in kinds:
+        return result
+    given = F.col(f"{field.name}__given")
+    present = given.isNotNull()
+    if isinstance(kinds[field.name], (T.FloatType, T.DoubleType)):
+        present = present & ~F.isnan(given)
+    bad = present & result.isNull()
     length = field.metadata.get("max_length")
     if length:
         bad = bad | (F.length(result) > length)
     if not strict:
-        return F.when(~bad, result)
-    message = F.concat(F.lit(f"{field.name}: value does not fit {field.dataType.simpleString()}: "), value.cast("string"))
+        return F.when(F.coalesce(bad, F.lit(False)), F.lit(None)).otherwise(result)
+    message = F.concat(F.lit(f"{field.name}: value does not fit {field.dataType.simpleString()}: "), given.cast("string"))
     return F.when(bad, F.raise_error(message).cast(field.dataType)).otherwise(result)
 
 
-def conform(df: DataFrame, schema: T.StructType, *, strict: bool = True) -> DataFrame:
-    """The schema's columns, in order and typed. Missing ones are NULL, others are dropped,
-    NaN becomes NULL. A value that does not fit fails the job, or is NULL if not ``strict``."""
-    if not any(f.name in df.columns for f in schema.fields):
-        raise ValueError(f"none of the expected columns are present: {schema.fieldNames()}")
-    return df.select(
-        *[
-            _conformed(df, f, strict).alias(f.name, metadata={k: v for k, v in f.metadata.items()})
-            for f in schema.fields
-        ]
-    )
-
-
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their count."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
@@ -152,8 +159,3 @@ def json_sections(frames: Mapping[str, DataFrame]) -> DataFrame:
 def write_json_sections(frames: Mapping[str, DataFrame], path: str) -> None:
     """One directory of JSON lines per section."""
     json_sections(frames).write.mode("overwrite").partitionBy("section").text(path)
-
-
-def load_all(frames: Mapping[str, DataFrame], prefix: str = "") -> dict[str, int]:
-    """Load the given tables by name; tables without a frame are left alone."""
-    return {name: load_table(df, prefix + name, TABLES[name]) for name, df in frames.items()}
