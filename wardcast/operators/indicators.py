@@ -81,12 +81,11 @@ def observed_rate(
     """Admissions per 100 thousand inhabitants, per key and year.
 
     ``population`` has the keys, ``year`` and ``pop_millions``; ``unit`` is what one of it stands
-    for. Admissions are counted before the join, so only one row per key and year meets it.
+    for. Admissions are counted before the join, so only one row per key and year meets it. Groups
+    without population, also those without a year, have a NULL rate.
     """
     counted = F.lit(True) if min_age is None else F.col("age") >= min_age
-    admissions = (
-        clean.groupBy(*keys, "year").agg(F.count_if(counted).alias("admissions")).where(F.col("year").isNotNull())
-    )
+    admissions = clean.groupBy(*keys, "year").agg(F.count_if(counted).alias("admissions"))
     persons = F.col("pop_millions") * F.lit(float(unit))
     rate = F.try_divide(F.col("admissions").cast("double"), persons) * F.lit(1e5)
     return admissions.join(population.select(*keys, "year", "pop_millions"), [*keys, "year"], "left").select(

@@ -260,8 +260,8 @@ CHECK_SQL: dict[str, str] = {
   ) GROUP BY 1, 2""",
     "table_conform": f"""WITH {CLEAN}
   SELECT diag_group, year, CAST(NULL AS VARCHAR) AS age_band, count(*) AS admissions,
-    count(*) FILTER (WHERE stay_days <> 7) AS valued,
-    CAST(sum(CASE WHEN stay_days <> 7 THEN total_value END) AS DOUBLE) AS total_cost,
+    count(*) FILTER (WHERE stay_days IS DISTINCT FROM 7 AND total_value IS NOT NULL) AS valued,
+    CAST(sum(CASE WHEN stay_days IS DISTINCT FROM 7 THEN total_value END) AS DOUBLE) AS total_cost,
     CAST(sum(stay_days) AS BIGINT) AS stay_days, CAST(0 AS BIGINT) AS death_known
   FROM clean GROUP BY 1, 2""",
     "repeated_keys": f"""WITH {RAW}
@@ -357,7 +357,7 @@ CHECK_SQL: dict[str, str] = {
     || ',"pop_millions":' || CAST(pop_millions AS DECIMAL(18,2)) || ',"admissions_proj":' || admissions_proj
     || ',"cost_a":' || CAST(cost_a AS DECIMAL(18,2)) || ',"cost_c":' || CAST(cost_c AS DECIMAL(18,2))
     || ',"is_projection":' || is_projection || '}}' AS body FROM projection
-  UNION ALL SELECT 'conditions', '{{"code":"' || code || '","description":'
+  UNION ALL SELECT 'conditions', '{{"code":' || coalesce('"' || code || '"', 'null') || ',"description":'
     || coalesce('"' || description || '"', 'null') || ',"admissions":' || admissions || '}}' FROM profile
   UNION ALL SELECT 'labels', '{{"diag_label":' || coalesce('"' || diag_label || '"', 'null')
     || ',"total":' || total || '}}' FROM by_label""",

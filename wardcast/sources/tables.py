@@ -108,15 +108,14 @@ def load_table(df: DataFrame, name: str, table: TableDef, renames: Mapping[str,
     if not spark.catalog.tableExists(name):
         create = spark.createDataFrame([], table.schema).write.format("parquet").mode("errorifexists")
         if table.partition_by:
-            create = create.partitionBy(*table.partition_by)
+            # Kept with the table: an overwrite replaces the partitions it has rows for.
+            create = create.option("partitionOverwriteMode", "dynamic").partitionBy(*table.partition_by)
         create.saveAsTable(name)
         describe_table(spark, name, table)
     stored = rows.select(*spark.table(name).columns)
     if table.partition_by:
         stored = stored.hint("rebalance", *table.partition_by)
-        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
-    else:
-        stored.write.insertInto(name, overwrite=True)
+    stored.write.insertInto(name, overwrite=True)
     return spark.table(name).count()
 
 
