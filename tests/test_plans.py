@@ -116,7 +116,7 @@ def executed(text):
     kept, skip = [], None
     for line in text.split("\n"):
         depth = len(line) - len(line.lstrip(" :+-"))
-        if skip is not None and depth > skip:
+        if skip is not None and depth >= skip:
             continue
         skip = depth if "== Initial Plan ==" in line else None
         if skip is None:
