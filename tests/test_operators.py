@@ -144,7 +144,7 @@ def test_observed_rate(spark, raw):
     clean = enrich.enrich(raw, EVERYWHERE)
     population = spark.createDataFrame([(2024, 0.5), (2023, 0.0)], "year int, pop_millions double")
     got = {r["year"]: r["rate_per_100k"] for r in indicators.observed_rate(clean, population).collect()}
-    assert got == {2024: 1.0, 2023: None, 100: None}
+    assert got == {2024: 1.0, 2023: None, 100: None, None: None}
 
 
 def test_secondary_profile(spark, raw):

@@ -32,7 +32,8 @@ def parse_double(value: Column, dtype: T.DataType) -> Column:
     """
     if isinstance(dtype, T.StringType):
         return F.coalesce(value.try_cast("int").cast("double"), null_if_not_finite(_double_from_text(value)))
-    return null_if_not_finite(value.try_cast("double"))
+    number = value.try_cast("double")
+    return null_if_not_finite(number) if isinstance(dtype, (T.FloatType, T.DoubleType)) else number
 
 
 def parse_whole(value: Column, dtype: T.DataType) -> Column:

@@ -13,26 +13,34 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardcast.operators.projection import endpoint_growth
+from wardcast.functions import exact_ratio
 from wardcast.spec import TerritorySpec
 
 MEASURES = ("admissions", "population", "stay_days", "total_value", "deaths", "facilities")
 
 
-def region_measures(clean: DataFrame, population: DataFrame, key: str) -> DataFrame:
-    """The six totals per region. ``population`` has one row per region (key, ``population``).
+def region_totals(clean: DataFrame, key: str) -> DataFrame:
+    """Five of the six totals per region; the population comes from the projection.
 
     Facilities are counted distinct; Spark groups by region and facility first, so a region with
     most of the rows is spread over its facilities.
     """
-    totals = clean.groupBy(key).agg(
+    return clean.groupBy(key).agg(
         F.count(F.lit(1)).alias("admissions"),
         F.sum("stay_days").alias("stay_days"),
         F.sum("total_value").alias("total_value"),
         F.sum("death").alias("deaths"),
         F.count_distinct("facility_id").alias("facilities"),
     )
-    return totals.join(population.select(key, "population"), key, "left").select(key, *MEASURES)
+
+
+def region_outlook(projection: DataFrame, key: str, base_year: int) -> DataFrame:
+    """Population at the base year and projected growth of admissions in percent, per region."""
+    first, last = F.min_by("admissions_proj", "year"), F.max_by("admissions_proj", "year")
+    return projection.groupBy(key).agg(
+        F.max(F.when(F.col("year") == base_year, F.col("pop_millions"))).alias("population"),
+        exact_ratio(last - first, first, 1, scale=100).cast("decimal(18,1)").alias("growth_pct"),
+    )
 
 
 def territory_score(measures: DataFrame, spec: TerritorySpec) -> DataFrame:
@@ -75,23 +83,18 @@ def with_rank(scored: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(ranks), "score", "left").select(*scored.columns, "rank")
 
 
-def territory_growth(projection: DataFrame, key: str) -> DataFrame:
-    """Projected growth of admissions per region, in percent with one decimal."""
-    return endpoint_growth(projection, keys=[key], digits=1).select(key, "growth_pct")
-
-
 def territory_table(
     clean: DataFrame,
-    population: DataFrame,
     projection: DataFrame,
     names: DataFrame,
     spec: TerritorySpec,
+    base_year: int,
     key: str = "region",
 ) -> DataFrame:
     """Region, name, projected growth, score and level, with the measures behind the score."""
-    scored = territory_score(region_measures(clean, population, key), spec)
+    measures = region_totals(clean, key).join(region_outlook(projection, key, base_year), key, "left")
     return (
-        scored.join(territory_growth(projection, key), key, "left")
+        territory_score(measures, spec)
         .join(names.select(key, "name"), key, "left")
         .select(key, "name", "growth_pct", *MEASURES, "raw_score", "score", "level")
     )

@@ -57,8 +57,10 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-def _clean(spark: SparkSession, sf_dir: str, fields: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    raw = star.admissions(spark, sf_dir, [*fields, *carry])
+def _clean(
+    spark: SparkSession, sf_dir: str, fields: list[str], carry: tuple[str, ...] = (), text: bool = False
+) -> DataFrame:
+    raw = star.admissions(spark, sf_dir, [*fields, *carry], text=text)
     return enrich.enrich(cohort.select_cohort(raw, STAR_COHORT), STAR_COHORT, carry=carry)
 
 
@@ -72,14 +74,14 @@ def _projection(spark: SparkSession, sf_dir: str, keys: list[str] = REGION) -> D
 
 @query
 def cohort_filter(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "MUNIC_RES", "ANO_CMPT", "VAL_TOT"])
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "MUNIC_RES", "ANO_CMPT", "VAL_TOT"], text=True)
     kept = cohort.select_cohort(raw, STAR_COHORT)
     return kept.withColumn("diag_group", code_group(F.col("DIAG_PRINC")))
 
 
 @query
 def cohort_region_filter(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "MUNIC_RES", "ANO_CMPT", "VAL_TOT"])
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "MUNIC_RES", "ANO_CMPT", "VAL_TOT"], text=True)
     return cohort.select_cohort(raw, STAR_CITY_COHORT)
 
 
@@ -97,7 +99,7 @@ def label_distribution(spark, sf_dir):
 
 @query
 def either_diagnosis_cohort(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "DIAG_SECUN", "ANO_CMPT"])
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "DIAG_SECUN", "ANO_CMPT"], text=True)
     kept = cohort.select_cohort(raw, STAR_COHORT, secondary=True)
     return kept.groupBy("ANO_CMPT", "DIAG_PRINC").agg(F.count(F.lit(1)).alias("admissions"))
 
@@ -113,12 +115,12 @@ def either_diagnosis_uplift(spark, sf_dir):
 
 @query
 def enriched_admissions(spark, sf_dir):
-    return _clean(spark, sf_dir, ALL_FIELDS, carry=("region",))
+    return _clean(spark, sf_dir, ALL_FIELDS, carry=("region",), text=True)
 
 
 @query
 def renamed_fields(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "SEXO", "CNES", "region"])
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "SEXO", "CNES", "region"], text=True)
     renamed = enrich.rename_fields(raw)
     return renamed.groupBy("diag_code", "sex_code").agg(
         F.count(F.lit(1)).alias("admissions"), F.count_distinct("facility_id").alias("facilities")
@@ -127,7 +129,7 @@ def renamed_fields(spark, sf_dir):
 
 @query
 def age_band_counts(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["IDADE"])
+    raw = star.admissions(spark, sf_dir, ["IDADE"], text=True)
     return (
         enrich.enrich(raw, STAR_COHORT)
         .groupBy("age_band")
@@ -155,7 +157,7 @@ def tolerant_cast_quality(spark, sf_dir):
 
 @query
 def months_union(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "MORTE"])
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "MORTE"], text=True)
     early = raw.where(F.col("ANO_CMPT") < "1998").drop("MORTE")
     late = raw.where(F.col("ANO_CMPT") >= "1998")
     return (
@@ -183,7 +185,7 @@ def table_conform(spark, sf_dir):
 
 @query
 def repeated_keys(spark, sf_dir):
-    raw = star.admissions(spark, sf_dir, ["CNES", "ANO_CMPT", "MES_CMPT"])
+    raw = star.admissions(spark, sf_dir, ["CNES", "ANO_CMPT", "MES_CMPT"], text=True)
     return tables.duplicate_keys(raw, ["CNES", "ANO_CMPT", "MES_CMPT"])
 
 
@@ -356,12 +358,10 @@ def _territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = _clean(
         spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "DIAS_PERM", "VAL_TOT", "MORTE", "CNES"], carry=("region",)
     )
-    projected = _projection(spark, sf_dir)
-    population = projected.where(F.col("year") == STAR_PROJECTION.base_year).select(
-        "region", F.col("pop_millions").alias("population")
-    )
     names = star.region_names(spark, sf_dir)
-    return territory.territory_table(clean, population, projected, names, STAR_TERRITORY)
+    return territory.territory_table(
+        clean, _projection(spark, sf_dir), names, STAR_TERRITORY, STAR_PROJECTION.base_year
+    )
 
 
 @query

@@ -113,11 +113,8 @@ def build_rankings(
     ``projection`` is keyed by ``region`` (the state), ``names`` has (region, name).
     """
     spark = raw.sparkSession
-    population = projection.where(F.col("year") == projection_spec.base_year).select(
-        "region", F.col("pop_millions").alias("population")
-    )
     ranked = territory_table(
-        cohort.withColumnRenamed("state", "region"), population, projection, names, territory_spec
+        cohort.withColumnRenamed("state", "region"), projection, names, territory_spec, projection_spec.base_year
     )
     tables.write_csv(tables.conform(ranked, TERRITORY), out_territory)
     tables.write_csv(tables.conform(secondary_profile(raw, cohort_spec, descriptions), COMORBIDITY), out_comorbidity)

@@ -2,18 +2,18 @@
 
 The tables given for checks hold no admissions. Order lines stand for them: one line is one
 admission, the part's type is the principal diagnosis, the supplier's nation gives the region, and
-orders per region stand for the population. All fields come out as text, as in landing files.
+orders per region stand for the population.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardcast.schemas import RAW
 from wardcast.spec import CohortSpec, ProjectionSpec, TerritorySpec
 
 STAR_COHORT = CohortSpec(
@@ -84,34 +84,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _digit(c: Column) -> Column:
-    return (c % 10).cast("string")
-
-
-FIELDS: dict[str, Callable[[], Column]] = {
-    "DIAG_PRINC": lambda: F.col("p_type"),
-    "DIAG_SECUN": lambda: F.when(F.col("l_linenumber") % 3 == 0, "PROMO")
-    .when(F.col("l_linenumber") % 3 == 1, "ECONOMY")
-    .otherwise(F.col("p_brand")),
-    "MUNIC_RES": lambda: F.concat(F.lit("35503"), _digit(F.col("s_nationkey")), _digit(F.col("l_linenumber"))),
-    "IDADE": lambda: (F.col("l_quantity") * 2).cast("int").cast("string"),
-    "SEXO": lambda: F.when(F.col("l_returnflag") == "A", "1")
-    .when(F.col("l_returnflag") == "R", "3")
-    .when(F.col("l_returnflag") == "N", "2"),
-    "DIAS_PERM": lambda: F.col("l_linenumber").cast("string"),
-    "VAL_TOT": lambda: F.col("l_extendedprice").cast("decimal(15,2)").cast("string"),
-    "MORTE": lambda: F.when(F.col("l_linestatus") == "F", "1").otherwise("0"),
-    "ANO_CMPT": lambda: F.year("l_shipdate").cast("string"),
-    "MES_CMPT": lambda: F.month("l_shipdate").cast("string"),
-    "CNES": lambda: F.col("l_suppkey").cast("string"),
-    "region": lambda: F.col("n_regionkey"),
+FIELDS = {
+    "DIAG_PRINC": "p_type",
+    "DIAG_SECUN": "CASE l_linenumber % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'ECONOMY' ELSE p_brand END",
+    "MUNIC_RES": "concat('35503', string(s_nationkey % 10), string(l_linenumber % 10))",
+    "IDADE": "int(l_quantity * 2)",
+    "SEXO": "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'R' THEN '3' WHEN 'N' THEN '2' END",
+    "DIAS_PERM": "l_linenumber",
+    "VAL_TOT": "cast(l_extendedprice AS decimal(15,2))",
+    "MORTE": "int(coalesce(l_linestatus = 'F', false))",
+    "ANO_CMPT": "year(l_shipdate)",
+    "MES_CMPT": "month(l_shipdate)",
+    "CNES": "l_suppkey",
+    "region": "n_regionkey",
 }
 _FROM_PART = {"DIAG_PRINC", "DIAG_SECUN"}
 _FROM_SUPPLIER = {"MUNIC_RES", "region"}
 
 
-def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str]) -> DataFrame:
-    """The named landing fields of every order line.
+def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str], *, text: bool = False) -> DataFrame:
+    """The named landing fields of every order line, typed as in the tables or, with ``text``, as
+    in landing files.
 
     A dimension is joined only if one of the fields needs it; being outer joins on unique keys,
     they never change the rows. Part and supplier grow with the data, so they carry no broadcast
@@ -130,13 +123,13 @@ def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str]) -> DataF
             .select("s_suppkey", "s_nationkey", "n_regionkey")
         )
         rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return rows.select(*[FIELDS[name]().alias(name) for name in fields])
+    as_text = lambda name: f"string({FIELDS[name]})" if text and name in RAW.names else FIELDS[name]
+    return rows.selectExpr(*[f"{as_text(name)} AS {name}" for name in fields])
 
 
-def _in_year(date: Column, year: int) -> Column:
-    """A range test on the bare date, which the file reader can use; ``year(date)`` would not be."""
-    first, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-    return (date >= first) & (date < after)
+def _in_year(year: int) -> str:
+    """A range test on the bare date, which the file reader can use; ``year(o_orderdate)`` would not be."""
+    return f"o_orderdate >= timestamp_ntz'{year}-01-01' AND o_orderdate < timestamp_ntz'{year + 1}-01-01'"
 
 
 def population_anchors(
@@ -148,28 +141,22 @@ def population_anchors(
     join, and a customer with a third of all orders is reduced to one row per task before it.
     """
     years = list(years)
-    date = F.col("o_orderdate")
-    orders = table(spark, sf_dir, "orders").where(reduce(lambda a, b: a | b, [_in_year(date, y) for y in years]))
+    orders = table(spark, sf_dir, "orders").where(" OR ".join(f"({_in_year(y)})" for y in years))
+    counted = [F.expr(f"count_if({_in_year(y)}) AS n{y}") for y in years]
     if keys:
-        per_customer = orders.groupBy("o_custkey").agg(
-            *[F.count_if(_in_year(date, y)).alias(f"n{y}") for y in years]
-        )
         nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
         counts = (
-            per_customer.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            orders.groupBy("o_custkey")
+            .agg(*counted)
+            .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .groupBy(F.col("n_regionkey").alias("region"))
             .agg(*[F.sum(f"n{y}").alias(f"n{y}") for y in years])
         )
     else:
-        counts = orders.agg(*[F.count_if(_in_year(date, y)).alias(f"n{y}") for y in years])
-    rows = F.array(
-        *[
-            F.struct(F.lit(y).alias("year"), F.col(f"n{y}").cast("double").alias("pop_millions"))
-            for y in years
-        ]
-    )
-    return counts.select(*keys, F.inline(rows))
+        counts = orders.agg(*counted)
+    rows = ", ".join(f"struct({y} AS year, double(n{y}) AS pop_millions)" for y in years)
+    return counts.selectExpr(*keys, f"inline(array({rows}))")
 
 
 def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
