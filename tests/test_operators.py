@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast import DEMENTIA_COHORT, DEMENTIA_TERRITORY
+from wardcast.functions import parse_double, right_closed_band
 from wardcast.operators import cohort, enrich, indicators, secondary, territory
 from wardcast.plans import dashboard
 from wardcast.presets import CONDITION_LABELS
@@ -185,3 +190,43 @@ def test_levels_tiers_and_ranks(spark):
         "SP": ("Crítico", 1, 1), "RJ": ("Alto", 2, 2), "XX": ("Alto", 2, 2), "MG": ("Alto", 2, 4),
         "BA": ("Médio-Alto", 2, 5), "PR": ("Médio", 3, 6), "PE": ("Médio", 3, 7),
     }
+
+
+AGES = st.one_of(st.integers(-5, 210).map(float), st.floats(-5, 210, allow_nan=False))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(AGES, min_size=1, max_size=60))
+def test_every_age_up_to_200_has_exactly_one_band(spark, ages):
+    df = spark.createDataFrame([(a,) for a in ages], "age double")
+    band = right_closed_band(F.col("age"), EVERYWHERE.age_edges, EVERYWHERE.age_labels)
+    for age, label in rows(df, "age", band):
+        inside = [
+            name
+            for low, high, name in zip(EVERYWHERE.age_edges, EVERYWHERE.age_edges[1:], EVERYWHERE.age_labels)
+            if low < age <= high
+        ]
+        assert [label] == (inside or [None])
+
+
+NUMBERS = st.one_of(
+    st.integers(-(10**12), 10**12).map(str),
+    st.decimals(-10**9, 10**9, places=3).map(str),
+    st.floats(allow_nan=True, allow_infinity=True).map(repr),
+    st.text("0123456789+-.eE dfx", max_size=8),
+)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(NUMBERS, min_size=1, max_size=80))
+def test_text_is_read_like_a_plain_float(spark, texts):
+    def expected(text):
+        try:
+            number = float(text)
+        except ValueError:
+            return None
+        return number if math.isfinite(number) else None
+
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for text, number in rows(df, "x", parse_double(F.col("x"), T.StringType())):
+        assert number == expected(text), text

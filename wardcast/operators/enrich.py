@@ -64,6 +64,16 @@ READERS = {
 }
 
 
+def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Add a label from a dimension table with one row per key; NULL where it has none.
+
+    For dimensions too large for a spec's dictionary. There is no broadcast hint: Spark broadcasts
+    the dimension if it is small, and splits hot keys of a shuffled join at run time. Count before
+    labelling where the label is only shown with totals.
+    """
+    return df.join(labels.select(key, label), key, "left")
+
+
 def rename_fields(df: DataFrame) -> DataFrame:
     """Landing fields under their final names, keeping only those that exist."""
     return df.select(*[F.col(old).alias(new) for old, new in RAW_TO_CLEAN.items() if old in df.columns])

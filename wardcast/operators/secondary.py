@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions import code_group, lookup, starts_with_any
 from wardcast.operators.cohort import PRINCIPAL, SECONDARY, region_predicate
+from wardcast.operators.enrich import attach_label
 from wardcast.spec import CohortSpec
 
 
@@ -28,7 +29,7 @@ def secondary_profile(
         F.count(F.lit(1)).alias("admissions")
     )
     if isinstance(descriptions, DataFrame):
-        named = counts.join(descriptions.select("code", "description"), "code", "left")
+        named = attach_label(counts, descriptions, "code", "description")
     else:
         named = counts.withColumn("description", lookup(F.col("code"), descriptions or {}))
     return named.select("code", "description", "admissions").orderBy(*most_admissions())

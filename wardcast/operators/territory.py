@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.functions import exact_ratio
+from wardcast.operators.enrich import attach_label
 from wardcast.spec import TerritorySpec
 
 MEASURES = ("admissions", "population", "stay_days", "total_value", "deaths", "facilities")
@@ -93,8 +94,5 @@ def territory_table(
 ) -> DataFrame:
     """Region, name, projected growth, score and level, with the measures behind the score."""
     measures = region_totals(clean, key).join(region_outlook(projection, key, base_year), key, "left")
-    return (
-        territory_score(measures, spec)
-        .join(names.select(key, "name"), key, "left")
-        .select(key, "name", "growth_pct", *MEASURES, "raw_score", "score", "level")
-    )
+    named = attach_label(territory_score(measures, spec), names, key, "name")
+    return named.select(key, "name", "growth_pct", *MEASURES, "raw_score", "score", "level")

@@ -189,6 +189,23 @@ def repeated_keys(spark, sf_dir):
     return tables.duplicate_keys(raw, ["CNES", "ANO_CMPT", "MES_CMPT"])
 
 
+@query
+def admissions_preview(spark, sf_dir):
+    clean = _clean(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "MES_CMPT", "DIAS_PERM", "VAL_TOT"])
+    order = [F.col("total_value").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in clean.columns]]
+    return tables.preview(clean, order, 5)
+
+
+@query
+def facility_labels(spark, sf_dir):
+    raw = star.admissions(spark, sf_dir, ["CNES"], text=True)
+    counts = raw.groupBy(F.col("CNES").alias("facility_id")).agg(F.count(F.lit(1)).alias("admissions"))
+    facilities = star.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("facility_id"), F.col("s_name").alias("facility")
+    )
+    return enrich.attach_label(counts, facilities, "facility_id", "facility")
+
+
 @query
 def table_profile(spark, sf_dir):
     return tables.profile(_clean(spark, sf_dir, ALL_FIELDS))
@@ -389,6 +406,7 @@ def dashboard_json(spark, sf_dir):
                 "region", "year", F.col("pop_millions").cast("decimal(18,2)").alias("POP_MILLIONS"),
                 "admissions_proj", "cost_a", "cost_c", "is_projection",
             ),
+            "territory": _territory(spark, sf_dir).select("region", "name", "growth_pct", "score", "level"),
             "conditions": _profile(spark, sf_dir),
             "labels": by_label,
         }

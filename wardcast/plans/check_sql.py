@@ -266,6 +266,14 @@ CHECK_SQL: dict[str, str] = {
   FROM clean GROUP BY 1, 2""",
     "repeated_keys": f"""WITH {RAW}
   SELECT CNES, ANO_CMPT, MES_CMPT, count(*) AS copies FROM raw GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    "admissions_preview": f"""WITH {CLEAN}
+  SELECT diag_code, diag_group, diag_label, year, month, stay_days, CAST(total_value AS DOUBLE) AS total_value
+  FROM clean ORDER BY clean.total_value DESC NULLS LAST, diag_code NULLS LAST, diag_group NULLS LAST,
+    diag_label NULLS LAST, year NULLS LAST, month NULLS LAST, stay_days NULLS LAST LIMIT 5""",
+    "facility_labels": f"""WITH {RAW}
+  SELECT f.facility_id, s.s_name AS facility, f.admissions
+  FROM (SELECT CNES AS facility_id, count(*) AS admissions FROM raw GROUP BY 1) f
+  LEFT JOIN supplier s ON CAST(s.s_suppkey AS VARCHAR) = f.facility_id""",
     "table_profile": f"""WITH {CLEAN} SELECT count(*) AS rows, CAST(15 AS INTEGER) AS columns FROM clean""",
     "grouped_admissions": f"WITH {CLEAN} {GROUPED}",
     "grouped_admissions_by_region": f"""WITH {CLEAN}
@@ -351,12 +359,16 @@ CHECK_SQL: dict[str, str] = {
     least(100, score) AS bar_width FROM territory ORDER BY score DESC, region""",
     "territory_top3": f"""WITH {TERRITORY}
   SELECT region, name, score, raw_score, level FROM territory ORDER BY score DESC, raw_score DESC, region LIMIT 3""",
-    "dashboard_json": f"""WITH {CLEAN}, {REGIONAL}, {PROFILE}, grouped AS ({GROUPED}),
+    "dashboard_json": f"""WITH {TERRITORY}, {PROFILE}, grouped AS ({GROUPED}),
   by_label AS (SELECT diag_label, sum(admissions) AS total FROM grouped GROUP BY 1)
   SELECT 'projection' AS section, '{{"region":' || region || ',"year":' || year
     || ',"pop_millions":' || CAST(pop_millions AS DECIMAL(18,2)) || ',"admissions_proj":' || admissions_proj
     || ',"cost_a":' || CAST(cost_a AS DECIMAL(18,2)) || ',"cost_c":' || CAST(cost_c AS DECIMAL(18,2))
     || ',"is_projection":' || is_projection || '}}' AS body FROM projection
+  UNION ALL SELECT 'territory', '{{"region":' || coalesce(CAST(region AS VARCHAR), 'null')
+    || ',"name":' || coalesce('"' || name || '"', 'null')
+    || ',"growth_pct":' || coalesce(CAST(CAST(growth_pct AS DECIMAL(18,1)) AS VARCHAR), 'null')
+    || ',"score":' || score || ',"level":"' || level || '"}}' FROM territory
   UNION ALL SELECT 'conditions', '{{"code":' || coalesce('"' || code || '"', 'null') || ',"description":'
     || coalesce('"' || description || '"', 'null') || ',"admissions":' || admissions || '}}' FROM profile
   UNION ALL SELECT 'labels', '{{"diag_label":' || coalesce('"' || diag_label || '"', 'null')
