@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,15 @@ def test_half_even_and_half_up(spark):
     assert values(money.select(W.half_up(F.col("x"), 2))) == [Decimal("2.13"), Decimal("-2.13")]
 
 
+def test_half_even_rounds_like_numpy(spark):
+    rng = np.random.default_rng(7)
+    costs = rng.integers(1, 200_000, 20_000) * (4000.0 * 1.0175 ** rng.integers(0, 26, 20_000))
+    costs = np.append(costs, 9377 * (4000.0 * 1.0175**2))
+    df = spark.createDataFrame([(float(c),) for c in costs], "x double")
+    for x, cents, whole in df.select("x", W.half_even(F.col("x"), 2), W.half_even(F.col("x"))).collect():
+        assert (cents, whole) == (np.round(x, 2), np.round(x))
+
+
 def test_exact_mean_rounds_the_true_quotient(spark):
     rows = [(Decimal("4649844.22") if i == 0 else Decimal(0),) for i in range(92)]
     df = spark.createDataFrame(rows, "x decimal(15,2)")
