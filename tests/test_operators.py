@@ -62,6 +62,16 @@ def test_region_test_is_left_out_without_the_column(raw):
     assert cohort.select_cohort(raw.drop("MUNIC_RES"), DEMENTIA_COHORT).count() == 4
 
 
+def test_numeric_fields_are_compared_as_text(spark):
+    typed = spark.createDataFrame(
+        [("F00", 3550308, 1, 80.0), ("F00", 3304557, 1, 80.0)], "DIAG_PRINC string, MUNIC_RES int, SEXO int, IDADE double"
+    )
+    kept = enrich.enrich(cohort.select_cohort(typed, DEMENTIA_COHORT), DEMENTIA_COHORT)
+    assert rows(kept, "residence_code", "sex_label", "age_band") == [("3550308", "Masculino", "80-84")]
+    as_double = enrich.enrich(typed.withColumn("SEXO", F.lit(1.0)), DEMENTIA_COHORT)
+    assert {r[0] for r in rows(as_double, "sex_label")} == {None}
+
+
 def test_missing_code_column_raises(raw):
     with pytest.raises(ValueError, match="DIAG_PRINC"):
         cohort.select_cohort(raw.drop("DIAG_PRINC"), DEMENTIA_COHORT)

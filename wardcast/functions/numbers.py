@@ -85,13 +85,13 @@ def exact_mean(value: Column, digits: int) -> Column:
     """
     total = F.sum(value).cast("decimal(25,2)")
     count = F.count(value).cast("decimal(15,0)")
-    return F.round(F.try_divide(total, count), digits)
+    return half_up(F.try_divide(total, count), digits)
 
 
 def exact_ratio(numerator: Column, denominator: Column, digits: int, scale: int = 1) -> Column:
     """``scale * numerator / denominator`` of whole numbers, rounded half up; NULL for a zero denominator."""
     top = numerator.cast("decimal(18,0)") * F.lit(scale).cast("decimal(3,0)")
-    return F.round(F.try_divide(top, denominator.cast("decimal(18,0)")), digits)
+    return half_up(F.try_divide(top, denominator.cast("decimal(18,0)")), digits)
 
 
 def compound(value: Column, rate: Column, periods: Column) -> Column:
@@ -101,4 +101,4 @@ def compound(value: Column, rate: Column, periods: Column) -> Column:
 
 def in_millions(value: Column, digits: int = 2) -> Column:
     """Decimal amount in millions, rounded half up."""
-    return F.round(value.cast("decimal(24,2)") / F.lit(1_000_000).cast("decimal(7,0)"), digits)
+    return half_up(value.cast("decimal(24,2)") / F.lit(1_000_000).cast("decimal(7,0)"), digits)

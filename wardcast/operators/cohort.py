@@ -20,18 +20,23 @@ def _require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; check the landing files")
 
 
+def text(name: str) -> Column:
+    """The field as text. On a text column Spark drops the cast, so the reader still sees the bare column."""
+    return F.col(name).cast("string")
+
+
 def code_predicate(raw: DataFrame, spec: CohortSpec, *, secondary: bool = False) -> Column:
     """The principal diagnosis is in the cohort, or with ``secondary`` either diagnosis is."""
     _require(raw, PRINCIPAL, *([SECONDARY] if secondary else []))
-    matches = starts_with_any(F.col(PRINCIPAL), spec.prefixes)
-    return matches | starts_with_any(F.col(SECONDARY), spec.prefixes) if secondary else matches
+    matches = starts_with_any(text(PRINCIPAL), spec.prefixes)
+    return matches | starts_with_any(text(SECONDARY), spec.prefixes) if secondary else matches
 
 
 def region_predicate(raw: DataFrame, spec: CohortSpec) -> Column | None:
     """The residence is in the spec's region; None if there is no region or no residence column."""
     if not spec.region or RESIDENCE not in raw.columns:
         return None
-    return in_region(F.col(RESIDENCE), spec.region, spec.region_digits)
+    return in_region(text(RESIDENCE), spec.region, spec.region_digits)
 
 
 def select_cohort(raw: DataFrame, spec: CohortSpec, *, secondary: bool = False) -> DataFrame:
@@ -59,7 +64,7 @@ def cohort_retention(raw: DataFrame, spec: CohortSpec, *, secondary: bool = Fals
 
 def label_distribution(cohort: DataFrame, spec: CohortSpec, group: Column | None = None) -> DataFrame:
     """Rows per labelled group, in the order of the spec's labels, 0 for groups without rows."""
-    group = code_group(F.col(PRINCIPAL), spec.group_chars) if group is None else group
+    group = code_group(text(PRINCIPAL), spec.group_chars) if group is None else group
     labels = inline_table(
         cohort.sparkSession,
         [(i, code, label) for i, (code, label) in enumerate(spec.labels.items(), start=1)],
@@ -86,7 +91,7 @@ def secondary_uplift(raw: DataFrame, spec: CohortSpec) -> DataFrame:
     rows = raw if region is None else raw.where(region)
     counts = rows.agg(
         F.count_if(principal).alias("principal"),
-        F.count_if(starts_with_any(F.col(SECONDARY), spec.prefixes)).alias("secondary"),
+        F.count_if(starts_with_any(text(SECONDARY), spec.prefixes)).alias("secondary"),
         F.count_if(either).alias("either"),
     )
     return counts.withColumn("uplift", exact_ratio(F.col("either"), F.col("principal"), 3).cast("decimal(18,3)"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.functions import code_group, lookup, starts_with_any
-from wardcast.operators.cohort import PRINCIPAL, SECONDARY, region_predicate
+from wardcast.operators.cohort import PRINCIPAL, SECONDARY, region_predicate, text
 from wardcast.operators.enrich import attach_label
 from wardcast.spec import CohortSpec
 
@@ -21,11 +21,11 @@ def secondary_profile(
     Descriptions come from a small dictionary, or from a table (``code``, ``description``) joined
     after the count.
     """
-    rows = raw.where(starts_with_any(F.col(SECONDARY), spec.prefixes))
+    rows = raw.where(starts_with_any(text(SECONDARY), spec.prefixes))
     region = region_predicate(raw, spec)
     if region is not None:
         rows = rows.where(region)
-    counts = rows.groupBy(code_group(F.col(PRINCIPAL), spec.group_chars).alias("code")).agg(
+    counts = rows.groupBy(code_group(text(PRINCIPAL), spec.group_chars).alias("code")).agg(
         F.count(F.lit(1)).alias("admissions")
     )
     if isinstance(descriptions, DataFrame):

@@ -15,6 +15,7 @@ def _field(name: str, dtype: T.DataType, comment: str | None = None, length: int
     return T.StructField(name, dtype, True, metadata)
 
 
+# Field names of the landing files, with the names used here.
 RAW_TO_CLEAN = {
     "DIAG_PRINC": "diag_code",
     "DIAG_SECUN": "diag_secondary",

@@ -8,6 +8,8 @@ MB = 1024 * 1024
 GB = 1024 * MB
 # A shuffle partition of this size sorts and aggregates in a task's share of executor memory.
 SHUFFLE_PARTITION_BYTES = 256 * MB
+# Columns are pruned and rows combined before a shuffle, so it moves a fraction of the input. Beyond
+# this number the bookkeeping per partition costs more than larger partitions do.
 MAX_SHUFFLE_PARTITIONS = 100_000
 
 
