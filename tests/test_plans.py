@@ -97,18 +97,26 @@ def test_anchor_years_reach_the_file_reader(spark, sf_dir):
     assert "GreaterThanOrEqual(o_orderdate,1995-01-01" in text
 
 
-def test_territory_score_scans_admissions_once(spark, sf_dir):
-    df = driver.queries()["territory_score"](spark, sf_dir)
-    before = spark.conf.get("spark.sql.maxPlanStringLength")
-    spark.conf.set("spark.sql.maxPlanStringLength", str(10**8))
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+@pytest.mark.parametrize("name", ["territory_score", "territory_ranking", "territory_top3", "projection_observed_rate"])
+def test_tables_are_read_once(spark, sf_dir, name, threshold):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": threshold,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": threshold,
+        "spark.sql.maxPlanStringLength": str(10**8),
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
+        df = driver.queries()[name](spark, sf_dir)
         df.collect()
-        text = df._jdf.queryExecution().executedPlan().toString()
+        final = executed(df._jdf.queryExecution().executedPlan().toString())
     finally:
-        spark.conf.set("spark.sql.maxPlanStringLength", before)
-    final = executed(text)
+        for key in settings:
+            spark.conf.unset(key)
     assert len(re.findall(r"FileScan parquet \[l_", final)) == 1
-    assert "ReusedExchange [region" in final
+    assert len(re.findall(r"FileScan parquet \[o_", final)) == 1
+    assert "ReusedExchange" in final
 
 
 def executed(text):

@@ -151,6 +151,20 @@ def test_json_sections(spark, tmp_path):
     assert {r["section"]: r["v"] for r in got.collect()} == {"a": ['{"id":0}', '{"id":1}'], "b": ['{"name":"x"}']}
 
 
+def test_jdbc_append_is_conformed_and_batched(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    calls = []
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: calls.append((k, v)) or self)
+    monkeypatch.setattr(DataFrameWriter, "jdbc", lambda self, *args, **kw: calls.append((self._df.columns, args, kw)))
+    df = spark.createDataFrame([("J18", 380, "x")], "code string, admissions long, other string")
+    tables.write_jdbc(df, "jdbc:any", "conditions", {"user": "u"}, TABLES["comorbidity"])
+    assert calls == [
+        ("batchsize", 500),
+        (["code", "description", "admissions"], ("jdbc:any", "conditions"), {"mode": "append", "properties": {"user": "u"}}),
+    ]
+
+
 def test_profile_and_preview(spark):
     df = spark.range(9).withColumn("x", -F.col("id"))
     assert tuple(tables.profile(df).first()) == (9, 2)

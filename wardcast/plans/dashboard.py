@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.functions import (
@@ -101,7 +101,10 @@ def headline_kpis(projection: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def compare_years(projection: DataFrame, first: int, last: int, keys: Sequence[str] = ()) -> DataFrame:
     """Admissions of two years side by side, in one pass, with difference and growth."""
-    at = lambda y: F.max(F.when(F.col("year") == y, F.col("admissions_proj")))
+
+    def at(year: int) -> Column:
+        return F.max(F.when(F.col("year") == year, F.col("admissions_proj")))
+
     measures = [at(first).alias("first_admissions"), at(last).alias("last_admissions")]
     rows = projection.where(F.col("year").isin(first, last))
     both = rows.groupBy(*keys).agg(*measures) if keys else rows.agg(*measures)
@@ -113,7 +116,10 @@ def compare_years(projection: DataFrame, first: int, last: int, keys: Sequence[s
 
 def scenario_gap(costs: DataFrame, spec: ProjectionSpec) -> DataFrame:
     """Total cost in the final year, frozen against full adjustment, from the long scenario table."""
-    cost = lambda name: F.sum(F.when(F.col("scenario") == name, F.col("cost")))
+
+    def cost(name: str) -> Column:
+        return F.sum(F.when(F.col("scenario") == name, F.col("cost")))
+
     last = costs.where(F.col("year") == spec.end_year)
     totals = last.agg(cost(spec.frozen).alias("frozen_cost"), cost(spec.full).alias("full_cost"))
     ratio = F.try_divide(F.col("full_cost").cast("double"), F.col("frozen_cost").cast("double"))

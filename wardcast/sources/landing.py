@@ -43,7 +43,8 @@ def read_admissions(
 
 
 def union_months(frames: Iterable[DataFrame]) -> DataFrame:
-    """One table from monthly ones whose columns may differ."""
+    """One table from monthly ones whose columns may differ. Files under one landing tree need no
+    union: ``read_admissions`` scans them together."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -123,8 +123,10 @@ def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str], *, text:
             .select("s_suppkey", "s_nationkey", "n_regionkey")
         )
         rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    as_text = lambda name: f"string({FIELDS[name]})" if text and name in RAW.names else FIELDS[name]
-    return rows.selectExpr(*[f"{as_text(name)} AS {name}" for name in fields])
+    as_text = set(RAW.names) if text else set()
+    return rows.selectExpr(
+        *[f"string({FIELDS[name]}) AS {name}" if name in as_text else f"{FIELDS[name]} AS {name}" for name in fields]
+    )
 
 
 def _in_year(year: int) -> str:
