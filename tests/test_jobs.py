@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 
+from wardcast import DEMENTIA_PROJECTION
 from wardcast.__main__ import parser, run
 from wardcast.plans import jobs
 from wardcast.schemas import RAW
 from wardcast.session import GB, scale_settings
+from wardcast.sources.tables import DuplicateKeyError
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +96,30 @@ def test_cohort_is_limited_to_the_preset_city(spark, root, tmp_path):
     assert jobs.read_cohort(spark, str(tmp_path / "c")).count() == 3
 
 
+def test_projection_from_observed_rate_and_cost(spark, root, tmp_path):
+    cohort = spark.createDataFrame(
+        [("SP", 2024, 85, Decimal("1000.00"))] * 2 + [("SP", 2024, 40, Decimal("4000.00")), ("RJ", 2023, 90, Decimal("1.00"))],
+        "region string, year int, age int, total_value decimal(15,2)",
+    )
+    anchors = spark.createDataFrame(
+        [("SP", 2024, 0.5), ("SP", 2026, 1.0), ("RJ", 2024, 1.0)], "region string, year int, pop_millions double"
+    )
+    spec = replace(DEMENTIA_PROJECTION, base_year=2024)
+    got = {
+        (r["region"], r["year"]): (r["rate_per_100k"], r["admissions_proj"], r["cost_a"])
+        for r in jobs.build_projection(anchors, str(tmp_path / "p"), spec, ["region"], cohort).collect()
+    }
+    # Two of the three admissions are of people over 60: 2 / 500,000 = 0.4 per 100 thousand.
+    assert got[("SP", 2026)] == (Decimal("0.40"), 4, Decimal("8000.00"))
+    assert got[("RJ", 2024)] == (Decimal("24.25"), 242, Decimal("968000.00"))
+    national = spark.createDataFrame([(2024, 0.5), (2025, 1.0)], "year int, pop_millions double")
+    rows = jobs.build_projection(national, str(tmp_path / "n"), spec, [], cohort).collect()
+    assert [(r["rate_per_100k"], r["admissions_proj"]) for r in rows] == [(Decimal("0.40"), 2), (Decimal("0.40"), 4)]
+    with pytest.raises(DuplicateKeyError):
+        jobs.build_projection(anchors.union(anchors), str(tmp_path / "d"), spec, ["region"])
+    job(spark, "projection", "--out", tmp_path / "o", "--cohort", root / "cohort")
+
+
 def test_settings_grow_with_the_input():
     small, large = scale_settings(GB, 8), scale_settings(100_000 * GB, 8000)
     assert small["spark.sql.shuffle.partitions"] == "8"

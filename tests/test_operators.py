@@ -205,7 +205,7 @@ def test_levels_tiers_and_ranks(spark):
 AGES = st.one_of(st.integers(-5, 210).map(float), st.floats(-5, 210, allow_nan=False))
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(AGES, min_size=1, max_size=60))
 def test_every_age_up_to_200_has_exactly_one_band(spark, ages):
     df = spark.createDataFrame([(a,) for a in ages], "age double")
@@ -227,7 +227,7 @@ NUMBERS = st.one_of(
 )
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(NUMBERS, min_size=1, max_size=80))
 def test_text_is_read_like_a_plain_float(spark, texts):
     def expected(text):

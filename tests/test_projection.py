@@ -133,7 +133,7 @@ def test_rates_by_region_fall_back_to_the_spec(spark):
     assert got == {("x", 2020): 1000, ("x", 2021): 1500, ("x", 2022): 2000, ("y", 2020): 2425}
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.dictionaries(
         st.tuples(st.sampled_from("abc"), st.integers(1990, 2060)),

@@ -42,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
             for path in ("projection", "names", "territory", "comorbidity"):
                 sub.add_argument(f"--{path}", required=True)
     job("history", "cohort", "out")
-    job("projection", "out").add_argument("--anchors", help="CSV of region, year, pop_millions; default: national")
+    projection = job("projection", "out")
+    projection.add_argument("--anchors", help="CSV of region, year, pop_millions; default: national")
+    projection.add_argument("--cohort", help="take rate and cost per admission from this cohort's base year")
     load = job("load", "cohort", "history", "projection", "territory", "comorbidity")
     load.add_argument("--prefix", default="")
     job("dashboard", "out").add_argument("--prefix", default="")
@@ -69,7 +71,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             anchors, keys = tables.read_csv(spark, args.anchors, REGION_ANCHORS), ["region"]
         else:
             anchors, keys = landing.inline_table(spark, BRAZIL_60_PLUS, ANCHORS), []
-        jobs.build_projection(anchors, args.out, DEMENTIA_PROJECTION, keys).show(60)
+        cohort = jobs.read_cohort(spark, args.cohort).withColumnRenamed("state", "region") if args.cohort else None
+        jobs.build_projection(anchors, args.out, DEMENTIA_PROJECTION, keys, cohort).show(60)
     elif args.job == "rankings":
         projection = tables.read_csv(spark, args.projection, jobs.projection_schema(["region"]))
         names = tables.read_csv(spark, args.names, REGION_NAMES)

@@ -16,11 +16,13 @@ from wardcast.operators.cohort import cohort_retention, label_distribution, sele
 from wardcast.operators.enrich import enrich
 from wardcast.operators.indicators import (
     admissions_by_label,
+    base_year_value,
     executive_kpis,
     grouped_admissions,
+    observed_rate,
     yearly_history,
 )
-from wardcast.operators.projection import project_costs
+from wardcast.operators.projection import interpolate_series, project_costs
 from wardcast.operators.secondary import secondary_profile
 from wardcast.operators.territory import territory_table
 from wardcast.plans.dashboard import projection_series, secondary_ranking
@@ -88,11 +90,23 @@ def projection_schema(keys: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(k, T.StringType()) for k in keys] + PROJECTION.fields)
 
 
-def build_projection(anchors: DataFrame, out: str, spec: ProjectionSpec, keys: Sequence[str] = ()) -> DataFrame:
-    """Project population anchors and write the table."""
+def build_projection(
+    anchors: DataFrame, out: str, spec: ProjectionSpec, keys: Sequence[str] = (), cohort: DataFrame | None = None
+) -> DataFrame:
+    """Project population anchors and write the table.
+
+    With a cohort (which then has the keys as columns) the rate and the cost per admission are those
+    observed at the base year; where nothing was observed the spec's apply.
+    """
     tables.check_key(anchors, [*keys, "year"])
+    rates = base_values = None
+    if cohort is not None:
+        observed = observed_rate(cohort, interpolate_series(anchors, keys), keys)
+        rates = observed.where(F.col("year") == spec.base_year).select(*keys, F.col("rate_per_100k").alias("rate"))
+        base_values = base_year_value(cohort, spec.base_year, keys)
+    projection = project_costs(anchors, spec, keys, rates=rates, base_values=base_values)
     schema = projection_schema(keys)
-    tables.write_csv(tables.conform(project_costs(anchors, spec, keys), schema), out)
+    tables.write_csv(tables.conform(projection, schema), out)
     return tables.read_csv(anchors.sparkSession, out, schema)
 
 
