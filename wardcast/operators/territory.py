@@ -2,7 +2,7 @@
 
 The score is this library's definition: the geometric mean of six totals per region (admissions,
 population, days of stay, amount paid, deaths, facilities), scaled so that the highest region has
-100. A region where one of them is zero scores 0. It orders regions as their product does.
+100. A region where one of them is zero or unknown scores 0. It orders regions as their product does.
 """
 
 from __future__ import annotations
