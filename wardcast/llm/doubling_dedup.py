@@ -102,7 +102,7 @@ def without_repeats(
     """
     n, steps = X.partitions(docs.sparkSession), lengths(length, shortest)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    dealt = X.chunks(rows, F.coalesce(F.col("id").cast("string"), F.lit("")), n)
+    dealt = X.chunks(rows, F.col("id"), n)
 
     def state(table: pa.Table, got: pa.Table | None, levels: int) -> _Level:
         answers = [X.answered(got, k) for k in range(levels)]
@@ -111,7 +111,7 @@ def without_repeats(
     asks = X.per_chunk(dealt, lambda c, t: state(t, None, 0).ask(c, 0), X.ASKED)
     answers = None
     for level in range(len(steps)):
-        answer = X.repeated(np.dtype(np.uint32)) if level + 1 < len(steps) else _confirmed
+        answer = X.repeated(4) if level + 1 < len(steps) else _confirmed
         new = X.by_bucket(asks, n, answer).repartitionById(n, F.col("chunk"))  # read again by each later level
         answers = new if answers is None else answers.unionByName(new)
         if level + 1 < len(steps):

@@ -26,6 +26,10 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def chunk_of(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(n)).cast("int")
+
+
 def chunks(docs: DataFrame, key: Column, n: int) -> DataFrame:
     """All columns of the rows, packed and compressed per chunk, one chunk in each of n partitions.
 
@@ -33,19 +37,15 @@ def chunks(docs: DataFrame, key: Column, n: int) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             order = np.argsort(chunk := batch.column(0).to_numpy(), kind="stable")
             edges = np.searchsorted(chunk[order], np.arange(n + 1))
             rows = pa.Table.from_batches([batch]).drop(["chunk"])
             for c in np.flatnonzero(np.diff(edges)).tolist():
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=zstd) as out:
-                    out.write_table(rows.take(pa.array(order[edges[c] : edges[c + 1]])).combine_chunks())
-                blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                blob = pa.array([packed(rows.take(pa.array(order[edges[c] : edges[c + 1]])))], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), blob], names=["chunk", "packed"])
 
-    dealt = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), *docs.columns)
+    dealt = docs.select(chunk_of(key, n).alias("chunk"), *docs.columns)
     return dealt.mapInArrow(pack, "chunk int, packed binary").repartitionById(n, F.col("chunk"))
 
 
@@ -85,6 +85,24 @@ def with_answers(
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(whole, schema)
 
 
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows in packed tables, as rows."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                yield from pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches()
+
+    return df.select(column).mapInArrow(read, schema)
+
+
 def _empty(schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -147,23 +165,29 @@ def by_bucket(asks: DataFrame, n: int, answer: Callable[[list[bytes]], list[byte
     return asks.repartitionById(n, F.col("bucket")).mapInArrow(each, ASKED)
 
 
-def repeated(dtype: np.dtype) -> Callable[[list[bytes]], list[bytes]]:
-    """An answer: one bit per key, set if another chunk asked about the same key too."""
+def narrow(keys: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of the keys, for ``asked``."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def widened(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
+
+
+def repeated(width: int) -> Callable[[list[bytes]], list[bytes]]:
+    """An answer to keys of so many bytes: one bit per key, set if another chunk asked about the same key."""
 
     def answer(blobs: list[bytes]) -> list[bytes]:
-        sent = [np.frombuffer(x, dtype) for x in blobs]
-        keys, counts = distinct(np.concatenate(sent)) if dtype.names is None else _distinct_records(sent)
+        sent = [widened(x, width) if width != 4 else np.frombuffer(x, np.uint32) for x in blobs]
+        keys, counts = distinct(np.concatenate(sent))
         twice = keys[counts > 1]
         return [np.packbits(among(x, twice)).tobytes() for x in sent]
 
     return answer
 
 
-def _distinct_records(sent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(np.concatenate(sent), return_counts=True)
-    return keys, counts
-
-
 def among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which keys are among the ordered ones."""
     if len(ordered) == 0:

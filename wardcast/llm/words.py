@@ -134,6 +134,23 @@ def words(texts, *, lower: bool) -> Words:
     return Words(h, np.searchsorted(s, offsets).astype(np.int64), s, e, data)
 
 
+def counted(texts) -> np.ndarray:
+    """The number of words of each text."""
+    data, offsets = utf8(texts)
+    total = np.zeros(len(offsets), np.int64)
+    for at, end in _cuts(data):
+        inside = ~_SPACE[data[at:end]]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        low, high = np.searchsorted(offsets, at), np.searchsorted(offsets, end)
+        own = offsets[low:high] - at
+        begin[own] = inside[own]
+        seen = np.concatenate(([0], np.cumsum(begin)))
+        total[low:high] += seen[own]
+        total[high:] += seen[-1]
+    return np.diff(total)
+
+
 def sequences(hashes: np.ndarray, at: np.ndarray, length) -> np.ndarray:
     """Hashes of the ``length`` values (a number, or one for each place) that begin at each place."""
     up, down = _IN_WORDS.upto(len(hashes))
