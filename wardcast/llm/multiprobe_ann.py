@@ -133,7 +133,7 @@ _TYPES = [(n, pa.int64()) for n in ("q1", "q2", "v1", "v2")] + [("score", pa.flo
 
 def nearest(
     rows: DataFrame, queries: Column, *, id: str, vector: str, k: int = 20, tables: int = 6, projections: int = 6,
-    width: float = 2.0, probes: int = 32, seed: int = 11,
+    width: float = 2.0, probes: int = 48, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k rows with the largest inner products found for each row that ``queries``
     marks, in double precision, ties to the smaller id.
