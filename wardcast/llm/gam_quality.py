@@ -49,6 +49,14 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(values)))[bounds]).astype(np.float64)
 
 
+def _between(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many marks lie between each start and its end; ``marks`` has one place more than any end."""
+    if len(starts) == 0:
+        return np.zeros(0)
+    edges = np.stack((starts, ends), axis=1).reshape(-1)
+    return np.where(ends > starts, np.add.reduceat(marks, edges, dtype=np.int64)[::2], 0).astype(np.float64)
+
+
 def _runs(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text the number of distinct keys and how often its commonest one occurs."""
     keys = keys.copy()
@@ -72,9 +80,11 @@ def features(texts) -> np.ndarray:
     found = words(texts, lower=True)
     data, offsets = utf8(texts)
     size, many = np.diff(offsets).astype(np.float64), found.counts.astype(np.float64)
-    by_byte = {k: np.concatenate(([0], np.cumsum(v[data]))) for k, v in _KINDS.items()}
-    share = {k: np.diff(v[offsets]) / np.maximum(size, 1) for k, v in by_byte.items()}
-    inside = {k: by_byte[k][found.ends] - by_byte[k][found.starts] for k in ("upper", "lower", "symbols")}
+    data = np.append(data, np.uint8(0))
+    marked = {k: v[data].view(np.uint8) for k, v in _KINDS.items()}
+    whole = {k: _between(v, offsets[:-1], offsets[1:]) for k, v in marked.items()}
+    share = {k: v / np.maximum(size, 1) for k, v in whole.items()}
+    inside = {k: _between(marked[k], found.starts, found.ends) for k in ("upper", "lower", "symbols")}
     length = (found.ends - found.starts).astype(np.float64)
     per_word = lambda x: _sums(x, found.bounds) / np.maximum(many, 1)
     last = data[found.ends - 1]
@@ -85,7 +95,7 @@ def features(texts) -> np.ndarray:
     again = np.zeros(len(found.hashes))
     again[starts] = found.hashes[starts] == found.hashes[np.minimum(starts + 1, len(found.hashes) - 1)] if len(starts) else 0
     line_share = np.zeros(len(size))
-    for i in np.flatnonzero(np.diff(by_byte["lines"][offsets]) > 0).tolist():
+    for i in np.flatnonzero(whole["lines"] > 0).tolist():
         rows = data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n")
         line_share[i] = 1 - len(set(rows)) / len(rows)
     columns = {

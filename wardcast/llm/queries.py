@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import gam_quality, interpolated_lm, multiprobe_ann, partenum_join, pivotal_mix, sampled_shards, warc_bundles, wildcard_urls
+from wardcast.llm import gam_quality, interpolated_lm, multiprobe_ann, partenum_join, phrase_index, pivotal_mix, sampled_shards, warc_bundles, wildcard_urls
 from wardcast.llm.doubling_dedup import without_repeats
 from wardcast.llm.storage import saved
 
@@ -88,6 +88,19 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.records(archives).select(number, "payload_bytes", "payload_digest", "record_type", refers)
 
 
+def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = phrase_index.contaminated(docs, items, length=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_wildcard_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [wildcard_urls.site_rule(*rule) for rule in URL_RULES]
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -103,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_sampled_shards": op7_sampled_shards,
     "op8_warc_bundles": op8_warc_bundles,
+    "op9_phrase_index": op9_phrase_index,
     "op10_wildcard_urls": op10_wildcard_urls,
 }
 
