@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast.llm.storage import saved
 from wardcast.llm.words import counted
@@ -29,7 +30,7 @@ GROUP, FAN_IN = 1024, 64
 MANY_SOURCES = 10_000
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text; none of a null."""
     return pa.array(counted(texts), pa.int64())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import gam_quality, interpolated_lm, multiprobe_ann, partenum_join, phrase_index, pivotal_mix, sampled_shards, warc_bundles, wildcard_urls
+from wardcast.llm import check_sql, gam_quality, interpolated_lm, multiprobe_ann, partenum_join, phrase_index, pivotal_mix, sampled_shards, warc_bundles, wildcard_urls
 from wardcast.llm.doubling_dedup import without_repeats
 from wardcast.llm.storage import saved
 
@@ -120,4 +120,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wildcard_urls": op10_wildcard_urls,
 }
 
-CHECK_SQL: dict[str, str] = {}
+CHECK_SQL: dict[str, str] = {
+    "op3_partenum_join": check_sql.PARTENUM_JOIN,
+    "op4_doubling_dedup": check_sql.DOUBLING_DEDUP,
+    "op8_warc_bundles": check_sql.WARC_BUNDLES,
+    "op9_phrase_index": check_sql.PHRASE_INDEX,
+    "op10_wildcard_urls": check_sql.wildcard_urls(URL_RULES),
+}
