@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import zlib
+
+import pytest
+
+from tests.llm.rows import awkward, documents, prose
+from wardcast.llm import sampled_shards as shards
+
+
+def check(rows, got, many):
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(
+        (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows
+    )
+    for shard in range(many):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert all(0 <= r.shard < many for r in got)
+
+
+def loads(got, many):
+    out = [0] * many
+    for r in got:
+        out[r.shard] += r.size
+    return out
+
+
+def test_nearly_equal_bytes_with_copies_together(spark):
+    rows = [(i, " ".join(prose(i % 300, 5 + i % 200)), "s") for i in range(900)]
+    rows += [(2000 + i, " ".join(prose(9999, 40)), "s") for i in range(100)]
+    got = shards.sharded(documents(spark, rows), shards=4).collect()
+    check(rows, got, 4)
+    size = loads(got, 4)
+    assert max(size) < 1.02 * sum(size) / 4
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
+    again = shards.sharded(documents(spark, rows[::-1]).repartition(7), shards=4).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_copies_beyond_a_share_are_split(spark):
+    rows = [(i, "the same text in most rows", "s") for i in range(800)] + [(1000 + i, " ".join(prose(i, 4)), "s") for i in range(100)]
+    got = shards.sharded(documents(spark, rows), shards=4).collect()
+    check(rows, got, 4)
+    size = loads(got, 4)
+    assert max(size) < 1.1 * sum(size) / 4
+
+
+@pytest.mark.parametrize("many", [1, 3, 8])
+def test_awkward_rows(spark, many):
+    check(awkward(), shards.sharded(documents(spark, awkward()), shards=many).collect(), many)
+
+
+def test_empty_table(spark):
+    assert shards.sharded(documents(spark, [])).collect() == []
+
+
+def test_the_largest_go_first_and_parts_stay_together():
+    units = [(0, 0, 0, 50, 5), (0, 0, 1, 30, 3), (1, 0, 0, 60, 2), (2, 0, 0, 40, 9), (3, 0, 0, 20, 1)]
+    chosen = {u[:3]: u[3:] for u in shards.assigned(units, 2, 200)}
+    assert chosen[0, 0, 0][0] == chosen[0, 0, 1][0]
+    assert chosen[0, 0, 1][1] == 5
+    split = {u[:3]: u[3] for u in shards.assigned(units, 4, 200)}
+    assert split[0, 0, 0] != split[0, 0, 1]

@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import base64
+import hashlib
+import io
+from pathlib import Path
+
+import pytest
+import zstandard
+from pyspark.sql import types as T
+
+from tests.llm.rows import frame
+from wardcast.llm import warc_bundles as warc
+
+DATE = "2024-01-01T00:00:00Z"
+TEXT = T.StringType()
+
+
+def pages(spark, rows):
+    return frame(spark, rows, ("page_id", "url", "html"), (T.LongType(), TEXT, TEXT))
+
+
+ROWS = [
+    (5, "http://a/", "<p>same é</p>"),
+    (3, "http://b/\r\nX: y", "<p>same é</p>"),
+    (9, None, "<p>same é</p>"),
+    (1, "http://c/", None),
+    (2, "http://c/", ""),
+    (4, "http://d/", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"),
+    (6, "http://e/", "x" * 700_000),
+    (7, "http://f/", "y" * 200_000 + "z"),
+    (8, "http://f/", "same"),
+    (8, "http://f/", "same"),
+    (None, "http://g/", "same"),
+    (None, "http://g/", "no id"),
+]
+
+
+def packed(spark, rows, least=0):
+    done = warc.classified(pages(spark, rows), id="page_id", payload="html", least=least)
+    return warc.bundles(done, id="page_id", url="url", payload="html", date=DATE).cache()
+
+
+def plain(rows, least=0):
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    out = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        original = first.get(html or "") if len(body) >= least else i
+        revisit = original is not None and original != i
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        out.append(("" if i is None else str(i), "revisit" if revisit else "response", str(original) if revisit else None, len(body), digest, None if revisit else body))
+    return sorted(out, key=str)
+
+
+def read(df):
+    return sorted(((r.id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_round_trip(spark, least):
+    assert read(warc.records(packed(spark, ROWS, least))) == plain(ROWS, least)
+
+
+def test_bundles_are_plain_zstandard_with_a_seek_table(spark):
+    rows = packed(spark, ROWS).collect()
+    records = []
+    for row in rows:
+        content = bytes(row.content)
+        whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
+        frames = warc.seek_table(content)
+        assert sum(size for _, _, size in frames) == len(whole)
+        for r in row.records:
+            start = sum(size for _, _, size in frames[: r.frame]) + r.offset
+            one, end = warc.parsed(whole, start)
+            assert one["id"] == r.id and end - start == r.length
+            records.append(r.id)
+    assert len(records) == len(ROWS)
+    with pytest.raises(ValueError):
+        warc.seek_table(b"no bundle at all")
+
+
+def test_fetch_by_id(spark):
+    archives = packed(spark, ROWS)
+    wanted = spark.createDataFrame([("6",), ("3",), ("8",), ("77",)], "id string")
+    assert read(warc.fetched(archives, wanted)) == [r for r in plain(ROWS) if r[0] in ("6", "3", "8")]
+
+
+def test_small_bundles_and_export(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 400)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 600)
+    rows = [(i, f"http://h/{i}", hashlib.sha512(str(i % 90).encode()).hexdigest() * 4) for i in range(300)]
+    archives = packed(spark, rows)
+    assert archives.count() > 3 and archives.select("bundle").distinct().count() == archives.count()
+    assert read(warc.records(archives)) == plain(rows)
+    for _ in range(2):
+        files = {r.file: r["size"] for r in warc.exported(archives, str(tmp_path)).collect()}
+    assert {str(p): p.stat().st_size for p in Path(tmp_path).iterdir()} == files
+    stored = spark.read.format("binaryFile").load(f"{tmp_path}/*.warc.zst").select("content")
+    assert read(warc.records(stored)) == plain(rows)
+
+
+def test_empty_table(spark):
+    assert read(warc.records(packed(spark, []))) == []
+
+
+def test_a_changed_payload_is_noticed():
+    data = warc.record("1", "u", DATE, b"payload", None)
+    assert warc.parsed(data, 0)[0]["payload"] == b"payload"
+    with pytest.raises(ValueError):
+        warc.parsed(data.replace(b"payload\r\n", b"PAYLOAD\r\n"), 0)

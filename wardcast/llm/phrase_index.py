@@ -48,9 +48,9 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def item_terms(items: DataFrame, id: str, text: str) -> DataFrame:
-    """(item, part, many, at, term): the words of each item in order; an item's texts are its parts."""
+    """(item, part, many, at, term): the words of each item in order; a part is one text of one item."""
     rows = items.select(F.col(id).alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
-    rows = rows.select("item", F.xxhash64("text").alias("part"), F.filter(split_words(lowered(F.col("text"))), lambda w: w != "").alias("words"))
+    rows = rows.select("item", F.xxhash64("item", "text").alias("part"), F.filter(split_words(lowered(F.col("text"))), lambda w: w != "").alias("words"))
     return rows.select("item", "part", F.size("words").alias("many"), F.posexplode("words").alias("at", "term"))
 
 
@@ -110,8 +110,8 @@ def aligned(index: DataFrame, seeds: DataFrame) -> DataFrame:
 def phrases(docs: DataFrame, items: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """(item, doc, key, start, size): the windows of the items (item_terms) that the texts hold at the alignments."""
     order = F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])
-    whole = _small(saved(items.groupBy("item", "part").agg(order.alias("terms"))))
-    pairs = found.join(whole, ["item", "part"]).withColumnsRenamed({"doc": "_doc", "key": "_key"})
+    whole = _small(saved(items.groupBy("part").agg(order.alias("terms"))))
+    pairs = found.join(whole, "part").withColumnsRenamed({"doc": "_doc", "key": "_key"})
     pairs = _small(saved(pairs))
     rows = docs.join(pairs, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
     rows = rows.select("item", "doc", "key", "shift", "terms", split_words(lowered(F.col("text"))).alias("words"))
@@ -186,9 +186,10 @@ def near(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str,
     many = terms.groupBy("item", "part").agg(F.count("*").alias("many"))
     width = F.lit(max(within, 1))
     block = F.floor(F.col("at") / width)
-    heads = index.join(rare.join(many, ["item", "part"]), "term")
+    heads = index.join(rare.join(many.drop("item"), "part"), "term")
     heads = heads.select("item", "part", "many", "doc", "key", F.col("at").alias("head"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    others = index.join(terms, "term").select("item", "part", "term", "doc", "key", "at", block.alias("block"))
-    met = heads.join(others, ["item", "part", "doc", "key", "block"]).where(F.abs(F.col("at") - F.col("head")) <= within)
+    others = index.join(terms, "term").select("part", "term", F.col("doc").alias("_doc"), "key", "at", block.alias("block"))
+    met = heads.join(others, ["part", "key", "block"]).where(F.col("doc").eqNullSafe(F.col("_doc")))
+    met = met.where(F.abs(F.col("at") - F.col("head")) <= within)
     met = met.groupBy("item", "part", "doc", "key", "head", "many").agg(F.count_distinct("term").alias("found"))
     return met.where("found = many").select("item", F.col("doc").alias(id), F.col("head").alias("at"))

@@ -1,7 +1,8 @@
 """Shards of nearly equal bytes by sampled splitters.
 
 Keys are fingerprints of the texts, so equal texts are neighbours. A sample of keys, drawn in proportion to size,
-gives the quantiles that cut the key space into ranges of nearly equal bytes, many for each shard. Ranges that
+gives the quantiles that cut the key space into ranges of nearly equal bytes, many for each shard; the driver
+holds the sample, which has ``DRAWS`` keys for each range at any size of the input. Ranges that
 turn out overfull are subdivided: by a hash of the key first, which keeps equal texts together, and where equal
 texts alone overfill a part, by a hash of the identifier. The counted ranges, whose number is a parameter,
 are then given to shards, the largest first to the emptiest.
@@ -22,7 +23,7 @@ from wardcast.llm.exchange import partitions
 from wardcast.llm.storage import saved
 
 #: Ranges for each shard, draws for each range, and how many times its share a range may hold.
-RANGES, DRAWS, OVERFULL = 64, 50, 2
+RANGES, DRAWS, OVERFULL = 64, 40, 2
 
 
 def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: int = 8, seed: int = 7) -> DataFrame:
@@ -47,9 +48,8 @@ def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards:
     chance = F.pmod(F.xxhash64("key", "id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = F.floor(F.col("size") * F.lit(DRAWS * ranges / max(total, 1)) + chance).cast("int")
     sample = rows.where(drawn > 0).select("key", F.explode(F.array_repeat(F.lit(0), drawn)))
-    cuts = [i / ranges for i in range(1, ranges)]
-    found = sample.agg(F.percentile_approx("key", cuts, 20 * ranges)).first()[0] or []
-    splitters = np.unique(np.array(found, np.int64))
+    keys = np.sort(np.array([r.key for r in sample.select("key").collect()], np.int64))
+    splitters = np.unique(keys[len(keys) * np.arange(1, ranges) // ranges]) if len(keys) else keys
 
     @F.arrow_udf("int")
     def range_of(keys: pa.Array) -> pa.Array:
