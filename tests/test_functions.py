@@ -152,7 +152,6 @@ def test_specs_check_their_parameters():
         CohortSpec(prefixes=("F00",), age_edges=(0, 10), age_labels=("a", "b"))
     with pytest.raises(ValueError):
         CohortSpec(prefixes=("F00",), age_edges=(0, 10, 10), age_labels=("a", "b"))
-    with pytest.raises(ValueError):
-        CohortSpec(prefixes=("F00",), labels={str(i): "x" for i in range(1000)})
+    assert len(CohortSpec(prefixes=("F00",), labels={str(i): "x" for i in range(1000)}).labels) == 1000
     with pytest.raises(ValueError):
         ProjectionSpec(rate=1, base_year=1, end_year=2, base_value=1, scenarios={"x": 0.0})

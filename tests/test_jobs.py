@@ -7,12 +7,15 @@ from dataclasses import replace
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from wardcast import DEMENTIA_PROJECTION
+from wardcast import DEMENTIA_COHORT, DEMENTIA_PROJECTION
 from wardcast.__main__ import parser, run
+from wardcast.operators import indicators
 from wardcast.plans import jobs
-from wardcast.schemas import RAW
-from wardcast.session import GB, scale_settings
+from wardcast.schemas import COMORBIDITY, RAW, TABLES, TERRITORY
+from wardcast.session import GB, scale_settings, sized, stored_bytes
+from wardcast.sources import tables
 from wardcast.sources.tables import DuplicateKeyError
 
 
@@ -123,6 +126,79 @@ def test_projection_from_observed_rate_and_cost(spark, root, tmp_path):
 def test_settings_grow_with_the_input():
     small, large = scale_settings(GB, 8), scale_settings(100_000 * GB, 8000)
     assert small["spark.sql.shuffle.partitions"] == "8"
-    assert int(large["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(large["spark.sql.shuffle.partitions"]) == 400_000
     assert int(large["spark.sql.files.maxPartitionBytes"]) == GB
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 32 * 1024 * 1024
+
+
+class Settings:
+    """A session on which nothing is set yet."""
+
+    class Conf:
+        def __init__(self):
+            self.values = {}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+        def set(self, name, value):
+            self.values[name] = value
+
+    def __init__(self, spark):
+        self.sparkContext, self.conf = spark.sparkContext, self.Conf()
+
+
+def test_a_job_is_sized_by_the_files_it_names(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "a" / "state=SP" / "year=2024"))
+    files = sum(p.stat().st_size for p in (tmp_path / "a").rglob("*.parquet"))
+    assert files <= stored_bytes(spark, str(tmp_path / "a"), str(tmp_path / "none")) <= files + 100
+    stated = spark.newSession()
+    sized(stated, input_bytes=1000 * GB)
+    assert stated.conf.get("spark.sql.shuffle.partitions") == "8"  # the test session's own setting stands
+    unstated = Settings(spark)
+    sized(unstated, input_bytes=1000 * GB)
+    assert unstated.conf.values["spark.sql.shuffle.partitions"] == "4000"
+
+
+def test_either_diagnosis_is_reported_as_it_is_written(spark, root, tmp_path):
+    raw = jobs.read_landing(spark, str(root / "landing"))
+    written = jobs.build_cohort(raw, str(tmp_path / "c"), replace(DEMENTIA_COHORT, region=None), secondary=True)
+    retention, labels = jobs.cohort_report(raw, written, replace(DEMENTIA_COHORT, region=None), secondary=True)
+    assert retention.first()["rows_kept"] == written.count()
+    named = written.where(F.col("diag_group").isin(*DEMENTIA_COHORT.labels)).count()
+    assert sum(r["admissions"] for r in labels.collect()) == named < written.count()
+
+
+def test_a_projection_by_state_reaches_the_dashboard(spark, root, tmp_path, capsys):
+    job(spark, "cohort", "--landing", root / "landing", "--cohort", tmp_path / "c", "--whole-state")
+    job(spark, "history", "--cohort", tmp_path / "c", "--out", tmp_path / "h")
+    job(spark, "projection", "--out", tmp_path / "p", "--anchors", root / "anchors.csv")
+    spark.sql("CREATE DATABASE IF NOT EXISTS kept")
+    job(spark, "load", "--cohort", tmp_path / "c", "--history", tmp_path / "h", "--projection", tmp_path / "p",
+        "--territory", tmp_path / "t", "--comorbidity", tmp_path / "s", "--prefix", "kept.s_")
+    projection = spark.table("kept.s_projection")
+    assert projection.columns[0] == "region" and projection.where("pop_millions IS NULL").isEmpty()
+    assert {r["region"] for r in projection.select("region").distinct().collect()} >= {"SP"}
+    tables.load_table(spark.createDataFrame([], TERRITORY), "kept.s_territory", TABLES["territory"])
+    tables.load_table(spark.createDataFrame([], COMORBIDITY), "kept.s_comorbidity", TABLES["comorbidity"])
+    job(spark, "dashboard", "--out", tmp_path / "d", "--prefix", "kept.s_")
+    bodies = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "d")).where("section = 'projection'").collect()]
+    assert len(bodies) == projection.count() and all(b["region"] for b in bodies)
+    kinds = {r["viewName"]: r["isTemporary"] for r in spark.sql("SHOW VIEWS IN kept").collect()}
+    kinds = {name: kind for name, kind in kinds.items() if name.startswith("s_")}
+    assert kinds == {"s_grouped_admissions": False, "s_executive_kpis": False}
+
+
+def test_stored_views_equal_the_operators(spark, root, tmp_path):
+    job(spark, "cohort", "--landing", root / "landing", "--cohort", tmp_path / "c", "--whole-state")
+    tables.load_table(jobs.read_cohort(spark, str(tmp_path / "c")), "v_admissions", TABLES["admissions"])
+    national = spark.createDataFrame([(2024, 0.5), (2027, 1.0)], "year int, pop_millions double")
+    projected = jobs.build_projection(national, str(tmp_path / "p"), DEMENTIA_PROJECTION)
+    tables.load_table(projected, "v_projection", TABLES["projection"])
+    jobs.create_views(spark, DEMENTIA_PROJECTION, "v_")
+    for view, rows in (
+        ("v_grouped_admissions", indicators.grouped_admissions(spark.table("v_admissions"))),
+        ("v_executive_kpis", indicators.executive_kpis(spark.table("v_projection"), DEMENTIA_PROJECTION)),
+    ):
+        assert spark.table(view).columns == rows.columns
+        assert sorted(map(str, spark.table(view).collect())) == sorted(map(str, rows.collect()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -16,6 +17,7 @@ from wardcast.functions import parse_double, right_closed_band
 from wardcast.operators import cohort, enrich, indicators, secondary, territory
 from wardcast.plans import dashboard
 from wardcast.presets import CONDITION_LABELS
+from wardcast.sources.tables import DuplicateKeyError
 from wardcast.spec import CohortSpec
 
 FIELDS = (
@@ -32,9 +34,7 @@ ROWS = [
     (" F00", "X", "355030", "60", "1", "1", "1", "0", "2024", "1", "A"),
     (None, None, "355030", "60", "1", "1", "1", "0", "2024", "1", "A"),
 ]
-EVERYWHERE = CohortSpec(
-    prefixes=DEMENTIA_COHORT.prefixes, labels=DEMENTIA_COHORT.labels, sex_labels=DEMENTIA_COHORT.sex_labels
-)
+EVERYWHERE = replace(DEMENTIA_COHORT, region=None)
 
 
 @pytest.fixture(scope="module")
@@ -240,3 +240,25 @@ def test_text_is_read_like_a_plain_float(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     for text, number in rows(df, "x", parse_double(F.col("x"), T.StringType())):
         assert number == expected(text), text
+
+
+def test_labels_from_a_table(raw, spark):
+    """More groups than anyone would type in, in the table's order; a repeated group raises."""
+    many = [(i, f"X{i:03}", f"group {i}") for i in range(300)] + [(300, "F00", "zero"), (301, "G30", "thirty")]
+    labels = spark.createDataFrame(many, "ord int, diag_group string, diag_label string")
+    kept = cohort.select_cohort(raw, EVERYWHERE)
+    clean = enrich.enrich(kept, EVERYWHERE, labels=labels)
+    assert clean.columns == enrich.enrich(kept, EVERYWHERE).columns
+    assert sorted(rows(clean, "diag_group", "diag_label"), key=str) == [
+        ("F00", "zero"), ("F03", None), ("G30", "thirty"), ("G30", "thirty"),
+    ]
+    counted = rows(cohort.label_distribution(kept, EVERYWHERE, labels=labels), "ord", "admissions")
+    assert len(counted) == 302 and counted[-2:] == [(300, 1), (301, 2)]
+    twice = labels.union(labels.where("ord = 300"))
+    for build in (
+        lambda: enrich.enrich(kept, EVERYWHERE, labels=twice),
+        lambda: cohort.label_distribution(kept, EVERYWHERE, labels=twice),
+        lambda: secondary.secondary_profile(raw, EVERYWHERE, twice.selectExpr("diag_group AS code", "diag_label AS description")),
+    ):
+        with pytest.raises(DuplicateKeyError):
+            build()

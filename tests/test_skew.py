@@ -7,8 +7,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
 from tests.compare import connect, spark_result, sql_result
+from wardcast.plans.catalogue import QUERIES
+from wardcast.plans.check_sql import CHECK_SQL
 from wardcast.sources import star
 
 SETTINGS = {
@@ -66,11 +67,11 @@ def shuffled(spark):
         spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_hot_keys_and_missing_values(shuffled, hot_dir, name):
     with connect(hot_dir) as con:
-        kinds, rows = spark_result(driver.queries()[name](shuffled, hot_dir))
-        sql_kinds, sql_rows = sql_result(con, driver.oracle_sql()[name])
+        kinds, rows = spark_result(QUERIES[name](shuffled, hot_dir))
+        sql_kinds, sql_rows = sql_result(con, CHECK_SQL[name])
     assert kinds == sql_kinds
     assert rows == sql_rows
 

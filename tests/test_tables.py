@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardcast.schemas import CLEAN, COMORBIDITY, INDICATORS, RAW, TABLES, TableDef
+from wardcast.schemas import CLEAN, COMORBIDITY, INDICATORS, RAW, TABLES, TableDef, projection_table
 from wardcast.sources import landing, tables
 
 RAW_FIELDS = "DIAG_PRINC string, MUNIC_RES string"
@@ -63,7 +63,6 @@ def test_union_of_months_with_different_columns(spark):
 
 def test_optional_input(spark, tmp_path):
     assert landing.read_optional(spark, str(tmp_path / "none"), INDICATORS) is None
-    assert landing.empty(spark, INDICATORS).isEmpty()
     tables.write_csv(spark.createDataFrame([(2024, 1, None, None)], INDICATORS), str(tmp_path / "some"))
     assert landing.read_optional(spark, str(tmp_path / "some"), INDICATORS, "csv").count() == 1
 
@@ -126,7 +125,7 @@ def test_loading_twice_is_loading_once(spark):
     for _ in range(2):
         assert tables.load_table(first, "adm", admissions, {"ano": "year"}) == 3
     later = spark.createDataFrame([("G30", 2024, 0)], "diag_code string, year int, death int")
-    assert tables.load_table(later, "adm", admissions) == 3
+    assert tables.load_table(later, "adm", admissions) == 1
     got = {(r["diag_code"], r["year"]) for r in spark.table("adm").collect()}
     assert got == {("F00", 2023), ("G30", 2024), ("F01", None)}
 
@@ -135,7 +134,7 @@ def test_tables_are_described(spark):
     df = spark.createDataFrame([("J18", "Pneumonia", 380)], COMORBIDITY)
     tables.load_table(df, "described", TABLES["comorbidity"])
     details = {r["col_name"]: (r["data_type"], r["comment"]) for r in spark.sql("DESCRIBE EXTENDED described").collect()}
-    assert details["description"][1] == "Description of the code."
+    assert details["description"][1] == COMORBIDITY["description"].metadata["comment"]
     assert details["Comment"][0] == TABLES["comorbidity"].comment
 
 
@@ -169,3 +168,84 @@ def test_profile_and_preview(spark):
     df = spark.range(9).withColumn("x", -F.col("id"))
     assert tuple(tables.profile(df).first()) == (9, 2)
     assert [r["id"] for r in tables.preview(df, [F.col("x").asc()]).collect()] == [8, 7, 6, 5, 4]
+
+
+def month(spark, state, year, month, codes):
+    rows = [(c, state, year, month, 1999) for c in codes]
+    return spark.createDataFrame(rows, "diag_code string, state string, file_year int, file_month int, year int")
+
+
+def test_an_increment_keeps_what_was_loaded(spark):
+    """The rows' own year is the same everywhere: what a load replaces is the landing file that they came from."""
+    table = TABLES["admissions"]
+    for part, loaded in (
+        (month(spark, "SP", 2024, 1, ["F00", "F01", "F02"]), 3),
+        (month(spark, "SP", 2024, 2, ["F03", "F03"]), 2),
+        (month(spark, "RJ", 2024, 1, ["G30"]), 1),
+        (month(spark, "SP", 2024, 1, ["F00"]), 1),
+    ):
+        assert tables.load_table(part, "increments", table) == loaded
+    got = sorted((r.state, r.file_month, r.diag_code) for r in spark.table("increments").collect())
+    assert got == [("RJ", 1, "G30"), ("SP", 1, "F00"), ("SP", 2, "F03"), ("SP", 2, "F03")]
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("admissions,code\n5,J18\n")
+    got = tables.read_csv(spark, str(tmp_path / "t"), COMORBIDITY)
+    assert got.columns == COMORBIDITY.names and tuple(got.first()) == ("J18", None, 5)
+    (tmp_path / "t" / "b.csv").write_text("code,admissions\nN39,6\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        tables.read_csv(spark, str(tmp_path / "t"), COMORBIDITY).collect()
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.csv").write_text("code,rows\nJ18,5\n")
+    with pytest.raises(tables.UnexpectedHeaderError, match="rows"):
+        tables.read_csv(spark, str(tmp_path / "u"), COMORBIDITY)
+
+
+def test_a_projection_per_region_has_the_region_in_its_key(spark):
+    rows = [("SP", 2024, 1), ("RJ", 2024, 2)]
+    table = projection_table(["region"])
+    assert table.key == ("region", "year")
+    df = spark.createDataFrame(rows, "region string, year int, admissions_proj long")
+    assert tables.load_table(df, "projection_by_region_table", table) == 2
+    with pytest.raises(tables.DuplicateKeyError):
+        tables.load_table(df, "projection_national_table", TABLES["projection"])
+
+
+def files(root, state, month, name, text):
+    path = root / f"state={state}" / "year=2024" / f"month={month}"
+    path.mkdir(parents=True, exist_ok=True)
+    (path / name).write_text(text)
+
+
+def test_landing_csv_is_matched_by_name(spark, tmp_path):
+    files(tmp_path, "SP", 1, "a.csv", "DIAG_PRINC,DIAG_SECUN,IDADE\nF00,J18,81\n")
+    files(tmp_path, "SP", 2, "a.csv", "IDADE,OTHER,DIAG_PRINC\n82,x,F01\n")
+    files(tmp_path, "SP", "03", "a.csv", "DIAG_PRINC,IDADE\nF02,83\n")
+    files(tmp_path, "RJ", 1, "a.csv", "DIAG_PRINC,IDADE\nF03,84\n")
+    got = landing.read_admissions(spark, str(tmp_path), file_format="csv")
+    assert got.columns == RAW.names + ["state", "year", "month"]
+    seen = sorted((r["DIAG_PRINC"], r["DIAG_SECUN"], r["IDADE"], r["MUNIC_RES"], r["state"], r["month"]) for r in got.collect())
+    assert seen == [
+        ("F00", "J18", "81", None, "SP", 1), ("F01", None, "82", None, "SP", 2),
+        ("F02", None, "83", None, "SP", 3), ("F03", None, "84", None, "RJ", 1),
+    ]
+    some = landing.read_admissions(spark, str(tmp_path), states=["SP"], months=[2, 3], file_format="csv")
+    assert sorted(r["DIAG_PRINC"] for r in some.collect()) == ["F01", "F02"]
+    files(tmp_path, "SP", 1, "b.csv", "IDADE,DIAG_PRINC,DIAG_SECUN\n85,F09,J19\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        landing.read_admissions(spark, str(tmp_path), file_format="csv").collect()
+
+
+def test_landing_parquet_takes_any_type(spark, tmp_path):
+    root = str(tmp_path / "p")
+    write_month(spark, root, "SP", 2024, 1, [("F00", 81, 12.5)], "DIAG_PRINC string, IDADE int, VAL_TOT double")
+    write_month(spark, root, "SP", 2024, 2, [("F01", "82", Decimal("7.25"))], "DIAG_PRINC string, IDADE string, VAL_TOT decimal(9,2)")
+    write_month(spark, root, "SP", 2024, 3, [(7, "F02")], "extra int, DIAG_PRINC string")
+    got = landing.read_admissions(spark, root)
+    assert {f.dataType for f in got.schema.fields[: len(RAW)]} == {T.StringType()}
+    seen = sorted((r["DIAG_PRINC"], r["IDADE"], r["VAL_TOT"]) for r in got.collect())
+    assert seen == [("F00", "81", "12.5"), ("F01", "82", "7.25"), ("F02", None, None)]
+    with pytest.raises(PySparkException):
+        landing.read_admissions(spark, str(tmp_path / "none"))

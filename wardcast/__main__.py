@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from wardcast import DEMENTIA_COHORT, DEMENTIA_PROJECTION, DEMENTIA_TERRITORY
 from wardcast.plans import jobs
 from wardcast.presets import BRAZIL_60_PLUS, CONDITION_LABELS
-from wardcast.schemas import ANCHORS, COMORBIDITY, INDICATORS, TERRITORY
-from wardcast.session import GB, apply_settings, scale_settings
+from wardcast.schemas import ANCHORS, COHORT, COMORBIDITY, INDICATORS, TERRITORY, projection_table
+from wardcast.session import GB, sized
 from wardcast.sources import landing, tables
 
 REGION_ANCHORS = T.StructType([T.StructField("region", T.StringType()), *ANCHORS.fields])
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
 
     def job(name: str, *paths: str) -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
+        sub.add_argument("--input-gb", type=int, help="size of the input; without it, that of the files it names")
         for path in paths:
             sub.add_argument(f"--{path}", required=True)
         return sub
@@ -31,7 +32,6 @@ def parser() -> argparse.ArgumentParser:
     for name in ("cohort", "rankings"):
         sub = job(name, "landing", "cohort")
         sub.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-        sub.add_argument("--input-gb", type=int, help="size of the selected files, to size splits and shuffles")
         sub.add_argument("--states", nargs="*", default=[])
         sub.add_argument("--years", nargs="*", type=int, default=[])
         sub.add_argument("--months", nargs="*", type=int, default=[])
@@ -52,16 +52,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    read = {"cohort": ["landing"], "rankings": ["landing", "cohort"], "history": ["cohort"], "projection": ["cohort"], "load": ["cohort"]}
+    paths = [getattr(args, name) for name in read.get(args.job, []) if getattr(args, name)]
+    sized(spark, *paths, input_bytes=args.input_gb * GB if args.input_gb else None)
     if args.job in ("cohort", "rankings"):
-        if args.input_gb:
-            apply_settings(spark, scale_settings(args.input_gb * GB, spark.sparkContext.defaultParallelism))
         raw = jobs.read_landing(spark, args.landing, args.states, args.years, args.months, args.format)
         spec = DEMENTIA_COHORT
         if args.whole_state:
             spec = type(spec)(**{**spec.__dict__, "region": None})
     if args.job == "cohort":
-        jobs.build_cohort(raw, args.cohort, spec, secondary=args.secondary)
-        for report in jobs.cohort_report(raw, spec):
+        written = jobs.build_cohort(raw, args.cohort, spec, secondary=args.secondary)
+        for report in jobs.cohort_report(raw, written, spec, secondary=args.secondary):
             report.show(truncate=False)
     elif args.job == "history":
         history = jobs.build_history(spark, args.cohort, args.out)
@@ -74,7 +75,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         cohort = jobs.read_cohort(spark, args.cohort).withColumnRenamed("state", "region") if args.cohort else None
         jobs.build_projection(anchors, args.out, DEMENTIA_PROJECTION, keys, cohort).show(60)
     elif args.job == "rankings":
-        projection = tables.read_csv(spark, args.projection, jobs.projection_schema(["region"]))
+        projection = tables.read_csv(spark, args.projection, projection_table(["region"]).schema)
         names = tables.read_csv(spark, args.names, REGION_NAMES)
         jobs.build_rankings(
             raw,
@@ -90,11 +91,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         )
     elif args.job == "load":
         read = landing.read_optional
+        projection = read(spark, args.projection, projection_table(["region"]).schema, "csv")
+        if projection is not None and "region" not in tables.csv_header(spark, args.projection):
+            projection = projection.drop("region")
         counts = jobs.load_tables(
             {
-                "admissions": read(spark, args.cohort, jobs.COHORT_SCHEMA),
+                "admissions": read(spark, args.cohort, COHORT),
                 "indicators": read(spark, args.history, INDICATORS, "csv"),
-                "projection": read(spark, args.projection, jobs.projection_schema([]), "csv"),
+                "projection": projection,
                 "territory": read(spark, args.territory, TERRITORY, "csv"),
                 "comorbidity": read(spark, args.comorbidity, COMORBIDITY, "csv"),
             },

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions import code_group, exact_ratio, in_region, starts_with_any
 from wardcast.sources.landing import inline_table
+from wardcast.sources.tables import check_key
 from wardcast.spec import CohortSpec
 
 PRINCIPAL = "DIAG_PRINC"
@@ -62,22 +63,23 @@ def cohort_retention(raw: DataFrame, spec: CohortSpec, *, secondary: bool = Fals
     return counts.withColumn("kept_pct", F.coalesce(kept, F.lit(0)).cast("decimal(6,3)"))
 
 
-def label_distribution(cohort: DataFrame, spec: CohortSpec, group: Column | None = None) -> DataFrame:
-    """Rows per labelled group, in the order of the spec's labels, 0 for groups without rows."""
+def label_distribution(
+    cohort: DataFrame, spec: CohortSpec, group: Column | None = None, labels: DataFrame | None = None
+) -> DataFrame:
+    """Rows per labelled group, in the order of the labels, 0 for groups without rows.
+
+    Labels are the spec's, or those of a table (``ord``, ``diag_group``, ``diag_label``) with one row per group.
+    Groups are counted before they meet the labels.
+    """
     group = code_group(text(PRINCIPAL), spec.group_chars) if group is None else group
-    labels = inline_table(
-        cohort.sparkSession,
-        [(i, code, label) for i, (code, label) in enumerate(spec.labels.items(), start=1)],
-        "ord int, diag_group string, diag_label string",
-    )
-    # At most one row per label, so this side of the join is small whatever the cohort's size.
-    counts = (
-        cohort.groupBy(group.alias("diag_group"))
-        .agg(F.count(F.lit(1)).alias("admissions"))
-        .where(F.col("diag_group").isin(*spec.labels))
-    )
+    if labels is None:
+        rows = [(i, code, label) for i, (code, label) in enumerate(spec.labels.items(), start=1)]
+        labels = inline_table(cohort.sparkSession, rows, "ord int, diag_group string, diag_label string")
+    else:
+        labels = check_key(labels.select("ord", "diag_group", "diag_label"), ["diag_group"])
+    counts = cohort.groupBy(group.alias("diag_group")).agg(F.count(F.lit(1)).alias("admissions"))
     return (
-        labels.join(F.broadcast(counts), "diag_group", "left")
+        labels.join(counts, "diag_group", "left")
         .select("ord", "diag_group", "diag_label", F.coalesce("admissions", F.lit(0)).alias("admissions"))
         .orderBy("ord")
     )

@@ -18,15 +18,17 @@ from wardcast.functions import (
     right_closed_band,
 )
 from wardcast.schemas import CLEAN, RAW_TO_CLEAN
+from wardcast.sources.tables import check_key
 from wardcast.spec import CohortSpec
 
 
-def enrich(cohort: DataFrame, spec: CohortSpec, *, carry: Sequence[str] = ()) -> DataFrame:
+def enrich(cohort: DataFrame, spec: CohortSpec, *, carry: Sequence[str] = (), labels: DataFrame | None = None) -> DataFrame:
     """Clean columns for whichever landing fields exist, plus the ``carry`` columns unchanged.
 
     Two projections and nothing else: fields are read once in the first, and labels and bands, which
     look at a value several times, are taken from the typed columns in the second. Labels come from
-    the spec's dictionaries, so nothing is joined or shuffled.
+    the spec's dictionaries, so nothing is joined or shuffled, or those of the diagnosis from a table
+    ``labels`` (``diag_group``, ``diag_label``), which is joined and must have one row per group.
     """
     kinds = {f.name: f.dataType for f in cohort.schema.fields}
     typed = {
@@ -37,7 +39,8 @@ def enrich(cohort: DataFrame, spec: CohortSpec, *, carry: Sequence[str] = ()) ->
     derived: dict[str, Column] = {}
     if "diag_code" in typed:
         typed["diag_group"] = code_group(F.col("DIAG_PRINC"), spec.group_chars)
-        derived["diag_label"] = lookup(F.col("diag_group"), spec.labels)
+        if labels is None:
+            derived["diag_label"] = lookup(F.col("diag_group"), spec.labels)
     if "sex_code" in typed:
         derived["sex_label"] = lookup(F.col("sex_code"), spec.sex_labels)
     if "age" in typed:
@@ -47,6 +50,9 @@ def enrich(cohort: DataFrame, spec: CohortSpec, *, carry: Sequence[str] = ()) ->
         derived["age"] = F.round("age", 0).try_cast("int")
 
     once = cohort.select(*[c.alias(name) for name, c in typed.items()], *carry)
+    if labels is not None and "diag_group" in typed:
+        once = attach_label(once, labels, "diag_group", "diag_label")
+        typed["diag_label"] = F.col("diag_label")
     ordered = [name for name in CLEAN.fieldNames() if name in typed or name in derived]
     return once.select(*[derived[n].alias(n) if n in derived else F.col(n) for n in ordered], *carry)
 
@@ -65,13 +71,14 @@ READERS = {
 
 
 def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Add a label from a dimension table with one row per key; NULL where it has none.
+    """Add a label from a dimension table; NULL where it has none. A key that the dimension repeats raises, as it
+    would multiply rows.
 
-    For dimensions too large for a spec's dictionary. There is no broadcast hint: Spark broadcasts
+    There is no broadcast hint: Spark broadcasts
     the dimension if it is small, and splits hot keys of a shuffled join at run time. Count before
     labelling where the label is only shown with totals.
     """
-    return df.join(labels.select(key, label), key, "left")
+    return df.join(check_key(labels.select(key, label), [key]), key, "left")
 
 
 def rename_fields(df: DataFrame) -> DataFrame:

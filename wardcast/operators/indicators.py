@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.functions import exact_mean, half_even, in_millions
@@ -77,24 +77,29 @@ def observed_rate(
     *,
     min_age: int | None = 60,
     unit: float = 1e6,
+    with_value: bool = False,
 ) -> DataFrame:
-    """Admissions per 100 thousand inhabitants, per key and year.
+    """Admissions per 100 thousand inhabitants, per key and year; with ``with_value`` also ``base_value``, the mean
+    amount per admission, from the same aggregate.
 
     ``population`` has the keys, ``year`` and ``pop_millions``; ``unit`` is what one of it stands
     for. Admissions are counted before the join, so only one row per key and year meets it. Groups
     without population, also those without a year, have a NULL rate.
     """
     counted = F.lit(True) if min_age is None else F.col("age") >= min_age
-    admissions = clean.groupBy(*keys, "year").agg(F.count_if(counted).alias("admissions"))
+    measures = [F.count_if(counted).alias("admissions"), *([_mean_amount()] if with_value else [])]
+    admissions = clean.groupBy(*keys, "year").agg(*measures)
     persons = F.col("pop_millions") * F.lit(float(unit))
-    rate = F.try_divide(F.col("admissions").cast("double"), persons) * F.lit(1e5)
-    return admissions.join(population.select(*keys, "year", "pop_millions"), [*keys, "year"], "left").select(
-        *keys, "year", "admissions", "pop_millions", half_even(rate, 2).alias("rate_per_100k")
-    )
+    rate = half_even(F.try_divide(F.col("admissions").cast("double"), persons) * F.lit(1e5), 2).alias("rate_per_100k")
+    joined = admissions.join(population.select(*keys, "year", "pop_millions"), [*keys, "year"], "left")
+    return joined.select(*keys, "year", "admissions", "pop_millions", rate, *(["base_value"] if with_value else []))
 
 
 def base_year_value(clean: DataFrame, base_year: int, keys: Sequence[str] = ()) -> DataFrame:
     """Observed mean amount per admission at the base year, for use as the cost base."""
     at_base = clean.where(F.col("year") == base_year)
-    value = exact_mean(F.col("total_value"), 2).cast("decimal(15,2)").alias("base_value")
-    return at_base.groupBy(*keys).agg(value) if keys else at_base.agg(value)
+    return at_base.groupBy(*keys).agg(_mean_amount()) if keys else at_base.agg(_mean_amount())
+
+
+def _mean_amount() -> Column:
+    return exact_mean(F.col("total_value"), 2).cast("decimal(15,2)").alias("base_value")

@@ -158,8 +158,8 @@ def tolerant_cast_quality(spark, sf_dir):
 @query
 def months_union(spark, sf_dir):
     raw = star.admissions(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "MORTE"], text=True)
-    early = raw.where(F.col("ANO_CMPT") < "1998").drop("MORTE")
-    late = raw.where(F.col("ANO_CMPT") >= "1998")
+    early = F.coalesce(F.col("ANO_CMPT").try_cast("int") < 1998, F.lit(False))
+    early, late = raw.where(early).drop("MORTE"), raw.where(~early)
     return (
         landing.union_months([early, late])
         .groupBy("ANO_CMPT", "MORTE")

@@ -75,17 +75,24 @@ GROUPED = f"""
     CAST(sum(death) AS BIGINT) AS deaths
   FROM clean GROUP BY year, diag_group, diag_label, age_band"""
 
-ANCHORS = """
-anchors AS (
-  SELECT n_regionkey AS region, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS pop
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE year(o_orderdate) IN (1995, 1998, 2001) GROUP BY 1, 2
-)"""
-NATIONAL_ANCHORS = """
+def anchors(region: str, joined: str) -> str:
+    return f"""
+dated AS (
+  SELECT {region} AS region, CAST(o_orderdate AS DATE) AS d FROM orders {joined}
+),
+span AS (SELECT min(d) AS lo, max(d) + 1 AS hi FROM dated),
+periods AS (
+  SELECT region, CAST(1995 + 3 * floor((year(d) - 1995) / 3) AS INTEGER) AS year, count(*) AS n FROM dated GROUP BY 1, 2
+),
 anchors AS (
-  SELECT 0 AS region, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS pop
-  FROM orders WHERE year(o_orderdate) IN (1995, 1998, 2001) GROUP BY 2
+  SELECT region, year, CAST(n AS DOUBLE) * CAST(365 AS DOUBLE)
+    / CAST(date_diff('day', greatest(make_date(year, 1, 1), lo), least(make_date(year + 3, 1, 1), hi)) AS DOUBLE) AS pop
+  FROM periods, span WHERE year IS NOT NULL
 )"""
+
+
+ANCHORS = anchors("n_regionkey", "LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+NATIONAL_ANCHORS = anchors("0", "")
 SERIES = """
 segments AS (
   SELECT region, year AS y0, pop AS v0,
@@ -256,7 +263,7 @@ CHECK_SQL: dict[str, str] = {
     "months_union": f"""WITH {RAW}
   SELECT ANO_CMPT, MORTE, count(*) AS admissions, count(DIAG_PRINC) AS coded FROM (
     SELECT DIAG_PRINC, ANO_CMPT FROM raw WHERE CAST(ANO_CMPT AS INTEGER) < 1998
-    UNION ALL BY NAME SELECT DIAG_PRINC, ANO_CMPT, MORTE FROM raw WHERE CAST(ANO_CMPT AS INTEGER) >= 1998
+    UNION ALL BY NAME SELECT DIAG_PRINC, ANO_CMPT, MORTE FROM raw WHERE ANO_CMPT IS NULL OR CAST(ANO_CMPT AS INTEGER) >= 1998
   ) GROUP BY 1, 2""",
     "table_conform": f"""WITH {CLEAN}
   SELECT diag_group, year, CAST(NULL AS VARCHAR) AS age_band, count(*) AS admissions,
@@ -361,7 +368,7 @@ CHECK_SQL: dict[str, str] = {
   SELECT region, name, score, raw_score, level FROM territory ORDER BY score DESC, raw_score DESC, region LIMIT 3""",
     "dashboard_json": f"""WITH {TERRITORY}, {PROFILE}, grouped AS ({GROUPED}),
   by_label AS (SELECT diag_label, sum(admissions) AS total FROM grouped GROUP BY 1)
-  SELECT 'projection' AS section, '{{"region":' || region || ',"year":' || year
+  SELECT 'projection' AS section, '{{"region":' || coalesce(CAST(region AS VARCHAR), 'null') || ',"year":' || year
     || ',"pop_millions":' || CAST(pop_millions AS DECIMAL(18,2)) || ',"admissions_proj":' || admissions_proj
     || ',"cost_a":' || CAST(cost_a AS DECIMAL(18,2)) || ',"cost_c":' || CAST(cost_c AS DECIMAL(18,2))
     || ',"is_projection":' || is_projection || '}}' AS body FROM projection

@@ -1,7 +1,8 @@
 """The batch jobs, in order: cohort, history, projection, rankings, load, dashboard.
 
 Each job reads files or tables and writes files or tables, so a lost executor costs recomputed
-tasks only, and a failed job is run again on its own. Writes are repeatable.
+tasks only, and a failed job is run again on its own. Files and catalog tables are replaced, so writing
+them again changes nothing.
 """
 
 from __future__ import annotations
@@ -10,15 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardcast.operators.cohort import cohort_retention, label_distribution, select_cohort
 from wardcast.operators.enrich import enrich
 from wardcast.operators.indicators import (
     admissions_by_label,
-    base_year_value,
-    executive_kpis,
-    grouped_admissions,
     observed_rate,
     yearly_history,
 )
@@ -26,23 +23,10 @@ from wardcast.operators.projection import interpolate_series, project_costs
 from wardcast.operators.secondary import secondary_profile
 from wardcast.operators.territory import territory_table
 from wardcast.plans.dashboard import projection_series, secondary_ranking
-from wardcast.schemas import CLEAN, COMORBIDITY, INDICATORS, PROJECTION, TABLES, TERRITORY
+from wardcast.schemas import COHORT, COHORT_PARTITIONS, COMORBIDITY, INDICATORS, TABLES, TERRITORY, projection_table
 from wardcast.sources import landing, tables
 from wardcast.spec import CohortSpec, ProjectionSpec, TerritorySpec
 
-# The clean cohort is partitioned like the landing files it came from. Running a month again
-# replaces that month and nothing else, whatever dates its rows carry.
-COHORT_PARTITIONS = ("state", "file_year", "file_month")
-COHORT_SCHEMA = T.StructType(
-    [
-        *CLEAN.fields,
-        T.StructField("state", T.StringType()),
-        T.StructField("file_year", T.IntegerType()),
-        T.StructField("file_month", T.IntegerType()),
-    ]
-)
-
-
 def read_landing(
     spark: SparkSession,
     path: str,
@@ -68,28 +52,24 @@ def build_cohort(raw: DataFrame, out: str, spec: CohortSpec, *, secondary: bool
 
 
 def read_cohort(spark: SparkSession, path: str) -> DataFrame:
-    return tables.read_parquet(spark, path, COHORT_SCHEMA)
+    return tables.read_parquet(spark, path, COHORT)
 
 
-def cohort_report(raw: DataFrame, spec: CohortSpec) -> tuple[DataFrame, DataFrame]:
-    """Retention counts and the label distribution. Counted from the data rather than from task
-    metrics, which a recomputed task would count twice."""
-    return cohort_retention(raw, spec), label_distribution(select_cohort(raw, spec), spec)
+def cohort_report(raw: DataFrame, written: DataFrame, spec: CohortSpec, *, secondary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Retention counts of the landing rows, and the label distribution of the cohort as it was written. Counted from the
+    data rather than from task metrics, which a recomputed task would count twice."""
+    return cohort_retention(raw, spec, secondary=secondary), label_distribution(written, spec, F.col("diag_group"))
 
 
 def build_history(spark: SparkSession, cohort_path: str, out: str) -> DataFrame | None:
     """Yearly indicators of the written cohort, or None if it has not been built."""
-    clean = landing.read_optional(spark, cohort_path, COHORT_SCHEMA)
+    clean = landing.read_optional(spark, cohort_path, COHORT)
     if clean is None:
         return None
     tables.write_csv(tables.conform(yearly_history(clean), INDICATORS), out)
     return tables.read_csv(spark, out, INDICATORS)
 
 
-def projection_schema(keys: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(k, T.StringType()) for k in keys] + PROJECTION.fields)
-
-
 def build_projection(
     anchors: DataFrame, out: str, spec: ProjectionSpec, keys: Sequence[str] = (), cohort: DataFrame | None = None
 ) -> DataFrame:
@@ -101,11 +81,12 @@ def build_projection(
     tables.check_key(anchors, [*keys, "year"])
     rates = base_values = None
     if cohort is not None:
-        observed = observed_rate(cohort, interpolate_series(anchors, keys), keys)
-        rates = observed.where(F.col("year") == spec.base_year).select(*keys, F.col("rate_per_100k").alias("rate"))
-        base_values = base_year_value(cohort, spec.base_year, keys)
+        observed = observed_rate(cohort, interpolate_series(anchors, keys), keys, with_value=True)
+        at_base = observed.where(F.col("year") == spec.base_year)
+        rates = at_base.select(*keys, F.col("rate_per_100k").alias("rate"))
+        base_values = at_base.select(*keys, "base_value")
     projection = project_costs(anchors, spec, keys, rates=rates, base_values=base_values)
-    schema = projection_schema(keys)
+    schema = projection_table(keys).schema
     tables.write_csv(tables.conform(projection, schema), out)
     return tables.read_csv(anchors.sparkSession, out, schema)
 
@@ -135,23 +116,47 @@ def build_rankings(
     return tables.read_csv(spark, out_territory, TERRITORY), tables.read_csv(spark, out_comorbidity, COMORBIDITY)
 
 
+def projection_keys(columns: Sequence[str]) -> list[str]:
+    """What a projection with these columns is split by."""
+    return [c for c in ("region",) if c in columns]
+
+
 def load_tables(frames: Mapping[str, DataFrame | None], prefix: str = "") -> dict[str, int]:
-    """Load what there is into the typed tables and return their row counts."""
-    return {n: tables.load_table(df, prefix + n, TABLES[n]) for n, df in frames.items() if df is not None}
+    """Load what there is into the typed tables and return the rows loaded. A projection per region has the region in
+    its key."""
+    known = dict(TABLES)
+    if frames.get("projection") is not None:
+        known["projection"] = projection_table(projection_keys(frames["projection"].columns))
+    return {n: tables.load_table(df, prefix + n, known[n]) for n, df in frames.items() if df is not None}
 
 
 def create_views(spark: SparkSession, spec: ProjectionSpec, prefix: str = "") -> None:
-    """The grouped-admissions and executive-KPI views over the loaded tables."""
-    grouped = grouped_admissions(spark.table(prefix + "admissions"))
-    grouped.createOrReplaceTempView(prefix + "grouped_admissions")
-    executive_kpis(spark.table(prefix + "projection"), spec).createOrReplaceTempView(prefix + "executive_kpis")
+    """The grouped-admissions and executive-KPI views over the loaded tables, kept in the catalog beside them.
+
+    They are stored as SQL; their columns are those of ``grouped_admissions`` and ``executive_kpis``.
+    """
+    keys = projection_keys(spark.table(prefix + "projection").columns)
+    spark.sql(f"""
+        CREATE OR REPLACE VIEW {prefix}grouped_admissions AS
+        SELECT year, diag_group, diag_label, age_band, count(*) AS admissions, sum(total_value) AS total_cost,
+            CAST(round(try_divide(sum(total_value), count(total_value)), 2) AS decimal(15,2)) AS mean_cost,
+            CAST(round(try_divide(CAST(sum(stay_days) AS decimal(20,0)), count(stay_days)), 1) AS decimal(8,1)) AS mean_stay,
+            sum(death) AS deaths
+        FROM {prefix}admissions GROUP BY year, diag_group, diag_label, age_band
+    """)
+    shown = [f"round(cost_{name} / 1000000, 2) AS cost_{name}_millions" for name in (spec.frozen, spec.full)]
+    spark.sql(f"""
+        CREATE OR REPLACE VIEW {prefix}executive_kpis AS
+        SELECT {", ".join([*keys, "year", "admissions_proj AS admissions", *shown])}, rate_per_100k, pop_millions, is_projection
+        FROM {prefix}projection
+    """)
 
 
 def dashboard_frames(spark: SparkSession, spec: ProjectionSpec, prefix: str = "") -> dict[str, DataFrame]:
     """The dashboard's four result sets from the loaded tables and views."""
-    territory = spark.table(prefix + "territory")
+    territory, projection = spark.table(prefix + "territory"), spark.table(prefix + "projection")
     return {
-        "projection": projection_series(spark.table(prefix + "projection"), spec),
+        "projection": projection_series(projection, spec, projection_keys(projection.columns)),
         "territory": territory.orderBy(F.col("score").desc_nulls_first(), "region"),
         "comorbidity": secondary_ranking(
             spark.table(prefix + "comorbidity").select("code", "description", "admissions")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from wardcast.spec import CohortSpec, ProjectionSpec, TerritorySpec
 
-# Diagnosis groups, labels, population anchors and parameters that results must reproduce.
+# Diagnosis groups, labels, age bands, population anchors and parameters that results must reproduce.
+AGE_EDGES = (0, 59, 69, 74, 79, 84, 200)
+AGE_LABELS = ("<60", "60-69", "70-74", "75-79", "80-84", "85+")
 DEMENTIA_LABELS = {
     "F00": "Alzheimer (F00)",
     "F01": "Demência Vascular",
@@ -40,6 +42,8 @@ DEMENTIA_COHORT = CohortSpec(
     labels=DEMENTIA_LABELS,
     region=SAO_PAULO_CITY,
     sex_labels=SEX_LABELS,
+    age_edges=AGE_EDGES,
+    age_labels=AGE_LABELS,
 )
 
 DEMENTIA_PROJECTION = ProjectionSpec(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 MB = 1024 * 1024
 GB = 1024 * MB
 # A shuffle partition of this size sorts and aggregates in a task's share of executor memory.
 SHUFFLE_PARTITION_BYTES = 256 * MB
-# Columns are pruned and rows combined before a shuffle, so it moves a fraction of the input. Beyond
-# this number the bookkeeping per partition costs more than larger partitions do.
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
@@ -21,7 +20,7 @@ def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
     up to the advisory size and splits those that hold a hot key.
     """
     split = min(max(input_bytes // max(cores * 4, 1), 32 * MB), GB)
-    partitions = min(max(cores, -(-input_bytes // SHUFFLE_PARTITION_BYTES)), MAX_SHUFFLE_PARTITIONS)
+    partitions = max(cores, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),
@@ -39,3 +38,23 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSessio
         if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)
     return spark
+
+
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """The size of all files under the paths, from their listing alone: no file is opened."""
+    total = 0
+    for path in paths:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        total += files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return total
+
+
+def sized(spark: SparkSession, *paths: str, input_bytes: int | None = None) -> SparkSession:
+    """The session with the settings for a job that reads the paths, or as many bytes as stated."""
+    size = stored_bytes(spark, *paths) if input_bytes is None else input_bytes
+    return apply_settings(spark, scale_settings(size, spark.sparkContext.defaultParallelism))

@@ -1,9 +1,11 @@
-"""Landing files: one directory tree partitioned by state, year and month, all fields text."""
+"""Landing files: one directory tree partitioned by state, year and month, whose columns may differ."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.schemas import LANDING_PARTITIONS, RAW
+from wardcast.sources.tables import read_csv
+
+# So many directories are looked at at once for their columns.
+PROBES = 16
 
 
 class NoRowsError(RuntimeError):
@@ -27,19 +33,53 @@ def read_admissions(
     file_format: str = "parquet",
     fields: T.StructType = RAW,
 ) -> DataFrame:
-    """Admissions of the given states, years and months.
+    """Admissions of the given states, years and months, every field as text.
 
-    The three selections are partition columns, so other directories are not listed for reading.
-    Files may lack some of the fields; those read as NULL.
+    The three selections are partition columns, so other directories are not read. Columns are matched by
+    name: files may lack some of the fields, which read as NULL there, may have them in any order, and may
+    have other ones, which are dropped. Parquet fields may have any type. Directories whose files look alike
+    are one scan; within a directory all files must look alike, and a CSV header that differs raises.
     """
-    reader = spark.read.schema(T.StructType(fields.fields + LANDING_PARTITIONS.fields))
-    if file_format == "csv":
-        reader = reader.option("header", True)
-    raw = reader.format(file_format).load(path)
-    for name, wanted in (("state", states), ("year", years), ("month", months)):
-        if wanted:
-            raw = raw.where(F.col(name).isin(*wanted))
-    return raw
+    selection = {"state": {str(s) for s in states}, "year": {str(y) for y in years}, "month": {str(m) for m in months}}
+    reader = spark.read.option("basePath", path).option("header", True)
+    listed = reader.schema(T.StructType(fields.fields + LANDING_PARTITIONS.fields)).format(file_format).load(path)
+    kinds: dict[tuple, list[str]] = {}
+    chosen = _directories(listed.inputFiles(), selection)
+    with ThreadPoolExecutor(PROBES) as pool:
+        for directory, columns in zip(chosen, pool.map(lambda d: _columns(spark, d, file_format), chosen), strict=True):
+            kinds.setdefault(columns, []).append(directory)
+    if not kinds:
+        return listed.where(F.lit(False))
+    groups = []
+    for columns, directories in kinds.items():
+        found = T.StructType([T.StructField(name, kind) for name, kind in columns])
+        rows = reader.option("enforceSchema", False).format(file_format)
+        rows = rows.schema(T.StructType(found.fields + LANDING_PARTITIONS.fields)).load(sorted(directories))
+        named = [(F.col(f.name) if f.name in found.names else F.lit(None)).cast("string").alias(f.name) for f in fields.fields]
+        rows = rows.select(*named, *LANDING_PARTITIONS.names)
+        for name, wanted in (("state", states), ("year", years), ("month", months)):
+            if wanted:
+                rows = rows.where(F.col(name).isin(*wanted))
+        groups.append(rows)
+    return reduce(DataFrame.unionByName, groups)
+
+
+def _directories(files: Iterable[str], selection: dict[str, set[str]]) -> list[str]:
+    """The directories of the files, without those that the selection rules out by their names."""
+    out: dict[str, None] = {}
+    for file in files:
+        directory = unquote(file.rsplit("/", 1)[0])
+        values = dict(part.split("=", 1) for part in directory.split("/") if "=" in part)
+        values = {k: v.lstrip("0") if v.isdigit() else v for k, v in values.items()}
+        if all(not wanted or values.get(name) in wanted for name, wanted in selection.items()):
+            out[directory] = None
+    return list(out)
+
+
+def _columns(spark: SparkSession, directory: str, file_format: str) -> tuple[tuple[str, T.DataType], ...]:
+    """Names and types of the columns in a directory: the header of a CSV file, the schema of a Parquet file."""
+    found = spark.read.option("header", True).format(file_format).load(directory).schema
+    return tuple((f.name, f.dataType) for f in found.fields if f.name not in LANDING_PARTITIONS.names)
 
 
 def union_months(frames: Iterable[DataFrame]) -> DataFrame:
@@ -57,21 +97,14 @@ def require_rows(df: DataFrame, what: str = "the selection") -> DataFrame:
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet") -> DataFrame | None:
     """The table at ``path``, or None if the path does not exist."""
-    reader = spark.read.schema(schema)
-    if file_format == "csv":
-        reader = reader.option("header", True)
     try:
-        return reader.format(file_format).load(path)
+        return read_csv(spark, path, schema) if file_format == "csv" else spark.read.schema(schema).format(file_format).load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def inline_table(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
     """Parameters and lookups typed in as rows."""
     return spark.createDataFrame(list(rows), schema)

@@ -2,17 +2,19 @@
 
 The tables given for checks hold no admissions. Order lines stand for them: one line is one
 admission, the part's type is the principal diagnosis, the supplier's nation gives the region, and
-orders per region stand for the population.
+orders per region and year, counted over periods of some years, stand for the population.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardcast.presets import AGE_EDGES, AGE_LABELS
 from wardcast.schemas import RAW
 from wardcast.spec import CohortSpec, ProjectionSpec, TerritorySpec
 
@@ -20,10 +22,10 @@ STAR_COHORT = CohortSpec(
     prefixes=("PRO", "ECO", "STA"),
     labels={"PRO": "Promotional", "ECO": "Economy", "XXX": "Not sold", "STA": "Standard"},
     sex_labels={"1": "Male", "3": "Female"},
+    age_edges=AGE_EDGES,
+    age_labels=AGE_LABELS,
 )
-STAR_CITY_COHORT = CohortSpec(
-    prefixes=STAR_COHORT.prefixes, labels=STAR_COHORT.labels, sex_labels=STAR_COHORT.sex_labels, region="355030"
-)
+STAR_CITY_COHORT = replace(STAR_COHORT, region="355030")
 STAR_PROJECTION = ProjectionSpec(
     rate=24.25,
     base_year=1998,
@@ -38,7 +40,8 @@ STAR_TERRITORY = TerritorySpec(
     tier_one=("Critical",),
     tier_two=("High", "Medium-High"),
 )
-ANCHOR_YEARS = (1995, 1998, 2001)
+# Periods of so many years, counted from the first year of the data.
+PERIOD_ORIGIN, PERIOD_YEARS = 1995, 3
 DESCRIPTIONS = {
     "ECO": "Economy line",
     "LAR": "Large line",
@@ -129,36 +132,46 @@ def admissions(spark: SparkSession, sf_dir: str, fields: Sequence[str], *, text:
     )
 
 
-def _in_year(year: int) -> str:
-    """A range test on the bare date, which the file reader can use; ``year(o_orderdate)`` would not be."""
-    return f"o_orderdate >= timestamp_ntz'{year}-01-01' AND o_orderdate < timestamp_ntz'{year + 1}-01-01'"
-
-
-def population_anchors(
-    spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("region",), years: Iterable[int] = ANCHOR_YEARS
+def orders_per_period(
+    spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("region",), origin: int = PERIOD_ORIGIN, years: int = PERIOD_YEARS
 ) -> DataFrame:
-    """Orders per customer region in the anchor years, as (region, year, pop_millions).
+    """(region, year, orders, days): every order, in the period of ``years`` years that its date falls into.
+
+    ``year`` is the period's first. ``days`` counts its days between the first and the last order of the table, so
+    a period that the data covers in part has fewer. Orders without a date have no period, those of an
+    unknown customer no region; both are groups of their own.
 
-    Orders are counted per customer first: one shuffle on the customer key serves the count and the
-    join, and a customer with a third of all orders is reduced to one row per task before it.
+    Orders are counted per customer and period before they meet customers, so a customer with a third of
+    all orders is a few rows per task by then.
     """
-    years = list(years)
-    orders = table(spark, sf_dir, "orders").where(" OR ".join(f"({_in_year(y)})" for y in years))
-    counted = [F.expr(f"count_if({_in_year(y)}) AS n{y}") for y in years]
+    day = F.col("o_orderdate").cast("date")
+    period = (F.floor((F.year(day) - F.lit(origin)) / F.lit(years)) * F.lit(years) + F.lit(origin)).cast("int")
+    orders = table(spark, sf_dir, "orders").withColumns({"year": period, "day": day})
+    counts = [F.count(F.lit(1)).alias("orders"), F.min("day").alias("first"), F.max("day").alias("last")]
     if keys:
         nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-        counts = (
-            orders.groupBy("o_custkey")
-            .agg(*counted)
-            .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .groupBy(F.col("n_regionkey").alias("region"))
-            .agg(*[F.sum(f"n{y}").alias(f"n{y}") for y in years])
+        counted = (
+            orders.groupBy("o_custkey", "year")
+            .agg(*counts)
+            .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .groupBy(F.col("n_regionkey").alias("region"), "year")
+            .agg(F.sum("orders").alias("orders"), F.min("first").alias("first"), F.max("last").alias("last"))
         )
     else:
-        counts = orders.agg(*counted)
-    rows = ", ".join(f"struct({y} AS year, double(n{y}) AS pop_millions)" for y in years)
-    return counts.selectExpr(*keys, f"inline(array({rows}))")
+        counted = orders.groupBy("year").agg(*counts)
+    # One row per region and period by now.
+    every = Window.partitionBy()
+    begin = F.greatest(F.make_date("year", F.lit(1), F.lit(1)), F.min("first").over(every))
+    end = F.least(F.make_date(F.col("year") + F.lit(years), F.lit(1), F.lit(1)), F.date_add(F.max("last").over(every), 1))
+    days = F.when(F.col("year").isNotNull(), F.date_diff(end, begin))
+    return counted.select(*keys, "year", "orders", days.alias("days"))
+
+
+def population_anchors(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Orders per 365 days of each period, as (region, year, pop_millions): all orders of the table count."""
+    rate = F.col("orders").cast("double") * F.lit(365.0) / F.col("days").cast("double")
+    return orders_per_period(spark, sf_dir, keys).select(*keys, "year", rate.alias("pop_millions"))
 
 
 def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,12 +91,33 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+class UnexpectedHeaderError(ValueError):
+    """A CSV header names a column that the table does not have."""
+
+
+def csv_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The column names in the header of the first file."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The schema's columns of a CSV table, matched by the names in its header, in any order.
+
+    Columns that the files lack are NULL. A header with another name, or one that differs from that of the
+    first file, raises.
+    """
+    header = csv_header(spark, path)
+    unknown = [name for name in header if name not in schema.names]
+    if unknown:
+        raise UnexpectedHeaderError(f"{path}: {unknown} are not among {schema.names}")
+    if not header:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([schema[name] for name in header])).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.select(*[(F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def load_table(df: DataFrame, name: str, table: TableDef, renames: Mapping[str, str] | None = None) -> int:
-    """Write ``df`` to the catalog table ``name`` and return its row count.
+    """Write ``df`` to the catalog table ``name`` and return the number of rows loaded.
 
     Loading the same data twice leaves the table as after the first load: partitioned tables
     replace the partitions present in ``df``, others are replaced whole.
@@ -116,7 +137,7 @@ def load_table(df: DataFrame, name: str, table: TableDef, renames: Mapping[str,
     if table.partition_by:
         stored = stored.hint("rebalance", *table.partition_by)
     stored.write.insertInto(name, overwrite=True)
-    return spark.table(name).count()
+    return rows.count()
 
 
 def describe_table(spark: SparkSession, name: str, table: TableDef) -> None:
@@ -126,7 +147,11 @@ def describe_table(spark: SparkSession, name: str, table: TableDef) -> None:
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, properties: Mapping[str, str], table: TableDef, batch_size: int = 500) -> None:
-    """Append the conformed rows to a database table, in batches."""
+    """Append the conformed rows to a database table, in batches.
+
+    A database has no partitions to replace, so unlike ``load_table`` a second run appends the rows again,
+    or fails where the database holds the table's key unique. Empty the table first to load it anew.
+    """
     rows = conform(df, table.schema)
     if table.key:
         check_key(rows, table.key)

@@ -5,16 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Dictionaries in a spec are inlined into the plan as literals; anything larger belongs in
-# a DataFrame dimension, which is joined instead.
-MAX_INLINE_LABELS = 200
-
 
 @dataclass(frozen=True)
 class CohortSpec:
     """Which admissions to keep and how to label them.
 
-    ``labels`` is ordered: reports list the groups in this order, also those without rows.
+    ``labels`` is ordered: reports list the groups in this order, also those without rows. It becomes
+    literals of the plan; the operators take a table of labels instead, which is joined.
     Age bands are right-closed: ``age_edges[i] < age <= age_edges[i + 1]``.
     """
 
@@ -24,8 +21,8 @@ class CohortSpec:
     region_digits: int = 6
     group_chars: int = 3
     sex_labels: dict[str, str] = field(default_factory=dict)
-    age_edges: tuple[int, ...] = (0, 59, 69, 74, 79, 84, 200)
-    age_labels: tuple[str, ...] = ("<60", "60-69", "70-74", "75-79", "80-84", "85+")
+    age_edges: tuple[int, ...] = (0, 200)
+    age_labels: tuple[str, ...] = ("all",)
 
     def __post_init__(self) -> None:
         if not self.prefixes:
@@ -34,9 +31,6 @@ class CohortSpec:
             raise ValueError("age_edges must have one more entry than age_labels")
         if list(self.age_edges) != sorted(set(self.age_edges)):
             raise ValueError("age_edges must be strictly increasing")
-        for name, mapping in (("labels", self.labels), ("sex_labels", self.sex_labels)):
-            if len(mapping) > MAX_INLINE_LABELS:
-                raise ValueError(f"{name} has over {MAX_INLINE_LABELS} entries; join a dimension DataFrame instead")
 
 
 @dataclass(frozen=True)
