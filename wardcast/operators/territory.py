@@ -7,6 +7,7 @@ population, days of stay, amount paid, deaths, facilities), scaled so that the h
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -20,18 +21,25 @@ from wardcast.spec import TerritorySpec
 MEASURES = ("admissions", "population", "stay_days", "total_value", "deaths", "facilities")
 
 
-def region_totals(clean: DataFrame, key: str) -> DataFrame:
-    """Five of the six totals per region; the population comes from the projection.
-
-    Facilities are counted distinct; Spark groups by region and facility first, so a region with
-    most of the rows is spread over its facilities.
-    """
-    return clean.groupBy(key).agg(
+def facility_totals(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Admissions, days of stay, amount and deaths per facility (and key), with partial sums in each task."""
+    return clean.groupBy(*keys, "facility_id").agg(
         F.count(F.lit(1)).alias("admissions"),
         F.sum("stay_days").alias("stay_days"),
         F.sum("total_value").alias("total_value"),
         F.sum("death").alias("deaths"),
-        F.count_distinct("facility_id").alias("facilities"),
+    )
+
+
+def region_totals(facilities: DataFrame, key: str) -> DataFrame:
+    """Five of the six totals per region, from ``facility_totals`` with the region of each facility; the population
+    comes from the projection. Rows without a facility count, but as none."""
+    return facilities.groupBy(key).agg(
+        F.sum("admissions").alias("admissions"),
+        F.sum("stay_days").alias("stay_days"),
+        F.sum("total_value").alias("total_value"),
+        F.sum("deaths").alias("deaths"),
+        F.count("facility_id").alias("facilities"),
     )
 
 
@@ -85,14 +93,17 @@ def with_rank(scored: DataFrame) -> DataFrame:
 
 
 def territory_table(
-    clean: DataFrame,
+    facilities: DataFrame,
     projection: DataFrame,
     names: DataFrame,
     spec: TerritorySpec,
     base_year: int,
     key: str = "region",
 ) -> DataFrame:
-    """Region, name, projected growth, score and level, with the measures behind the score."""
-    measures = region_totals(clean, key).join(region_outlook(projection, key, base_year), key, "left")
+    """Region, name, projected growth, score and level, with the measures behind the score.
+
+    ``facilities`` has the totals of each facility and its region.
+    """
+    measures = region_totals(facilities, key).join(region_outlook(projection, key, base_year), key, "left")
     named = attach_label(territory_score(measures, spec), names, key, "name")
     return named.select(key, "name", "growth_pct", *MEASURES, "raw_score", "score", "level")

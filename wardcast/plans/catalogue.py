@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardcast.functions import code_group
+from wardcast.functions import code_group, parse_decimal, parse_int, parse_whole
 from wardcast.operators import cohort, enrich, indicators, projection, secondary, territory
 from wardcast.plans import dashboard
-from wardcast.schemas import CLEAN
+from wardcast.schemas import CLEAN, projection_table
 from wardcast.sources import landing, star, tables
 from wardcast.sources.star import (
     DESCRIPTIONS,
@@ -206,6 +206,55 @@ def facility_labels(spark, sf_dir):
     return enrich.attach_label(counts, facilities, "facility_id", "facility")
 
 
+@query
+def table_labels(spark, sf_dir):
+    """Labels from a table, one for each group that the parts have."""
+    group = code_group(F.col("p_type")).alias("diag_group")
+    labels = star.table(spark, sf_dir, "part").groupBy(group).agg(F.min("p_type").alias("diag_label"))
+    raw = star.admissions(spark, sf_dir, ["DIAG_PRINC"])
+    clean = enrich.enrich(cohort.select_cohort(raw, STAR_COHORT), STAR_COHORT, labels=labels.where("diag_group IS NOT NULL"))
+    return clean.groupBy("diag_group", "diag_label").agg(F.count(F.lit(1)).alias("admissions"))
+
+
+@query
+def guarded_reads(spark, sf_dir):
+    """A required, an optional and an absent table, with the rows of each."""
+    kinds = {n: T.StructType([T.StructField(c, k) for c, k in star.SCHEMAS[n].items()]) for n in ("part", "supplier")}
+    found = {
+        "part": landing.require_rows(tables.read_parquet(spark, f"{sf_dir}/part.parquet", kinds["part"]), "part"),
+        "supplier": landing.read_optional(spark, f"{sf_dir}/supplier.parquet", kinds["supplier"]),
+        "absent": landing.read_optional(spark, f"{sf_dir}/absent.parquet", kinds["part"]),
+    }
+    none = landing.inline_table(spark, [], kinds["part"])
+    counts = [(none if df is None else df).select(F.lit(n).alias("name")).groupBy().agg(F.count("name").alias("rows")).withColumn("name", F.lit(n)) for n, df in found.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def parsed_fields(spark, sf_dir):
+    """Text that is no whole number, no number, or neither, read as whole, nearest and exact numbers."""
+    text = T.StringType()
+    half = (F.col("p_size") / F.lit(2.0)).cast("string")
+    part = star.table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        parse_whole(half, text).alias("whole"),
+        parse_int(half, text).alias("nearest"),
+        parse_decimal(half, text).alias("exact"),
+        parse_whole(F.substring("p_brand", 7, 10), text).alias("brand_whole"),
+        parse_int(F.col("p_brand"), text).alias("brand_nearest"),
+        parse_decimal(F.substring("p_name", 1, 3), text).alias("name_exact"),
+    )
+
+
+@query
+def renamed_on_load(spark, sf_dir):
+    """A projection in another's column names, as the typed table takes it."""
+    table = projection_table(REGION)
+    named = _projection(spark, sf_dir).withColumnsRenamed({"admissions_proj": "ADMISSIONS", "cost_a": "COST_FROZEN"})
+    return tables.loadable(named, table, {"ADMISSIONS": "admissions_proj", "COST_FROZEN": "cost_a"})
+
+
 @query
 def table_profile(spark, sf_dir):
     return tables.profile(_clean(spark, sf_dir, ALL_FIELDS))
@@ -372,12 +421,12 @@ def secondary_top5(spark, sf_dir):
 
 
 def _territory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _clean(
-        spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "DIAS_PERM", "VAL_TOT", "MORTE", "CNES"], carry=("region",)
-    )
+    """Admissions are summed per facility before they meet its region."""
+    clean = _clean(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "DIAS_PERM", "VAL_TOT", "MORTE", "CNES"])
+    facilities = territory.facility_totals(clean).join(star.facility_regions(spark, sf_dir), "facility_id", "left")
     names = star.region_names(spark, sf_dir)
     return territory.territory_table(
-        clean, _projection(spark, sf_dir), names, STAR_TERRITORY, STAR_PROJECTION.base_year
+        facilities, _projection(spark, sf_dir), names, STAR_TERRITORY, STAR_PROJECTION.base_year
     )
 
 

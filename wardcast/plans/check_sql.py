@@ -281,6 +281,20 @@ CHECK_SQL: dict[str, str] = {
   SELECT f.facility_id, s.s_name AS facility, f.admissions
   FROM (SELECT CNES AS facility_id, count(*) AS admissions FROM raw GROUP BY 1) f
   LEFT JOIN supplier s ON CAST(s.s_suppkey AS VARCHAR) = f.facility_id""",
+    "table_labels": f"""WITH {RAW},
+  labels AS (SELECT upper(substr(p_type, 1, 3)) AS g, min(p_type) AS l FROM part WHERE p_type IS NOT NULL GROUP BY 1),
+  c AS (SELECT upper(substr(DIAG_PRINC, 1, 3)) AS g, count(*) AS n FROM raw WHERE {PRINCIPAL} GROUP BY 1)
+  SELECT c.g AS diag_group, l AS diag_label, n AS admissions FROM c LEFT JOIN labels ON labels.g = c.g""",
+    "guarded_reads": """SELECT 'part' AS name, count(*) AS rows FROM part
+  UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'absent', 0""",
+    "parsed_fields": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS INTEGER) END AS whole,
+    CAST((p_size + 1) // 2 AS INTEGER) AS nearest, CAST(p_size AS DOUBLE) / 2 AS exact,
+    CASE WHEN regexp_matches(substr(p_brand, 7, 10), '^[0-9]+$') THEN CAST(substr(p_brand, 7, 10) AS INTEGER) END AS brand_whole,
+    CASE WHEN regexp_matches(p_brand, '^[0-9]+$') THEN CAST(p_brand AS INTEGER) END AS brand_nearest,
+    CASE WHEN regexp_matches(substr(p_name, 1, 3), '^[0-9]+$') THEN CAST(substr(p_name, 1, 3) AS DOUBLE) END AS name_exact
+  FROM part""",
+    "renamed_on_load": f"""WITH {REGIONAL}
+  SELECT * REPLACE (CAST(region AS VARCHAR) AS region) FROM projection""",
     "table_profile": f"""WITH {CLEAN} SELECT count(*) AS rows, CAST(15 AS INTEGER) AS columns FROM clean""",
     "grouped_admissions": f"WITH {CLEAN} {GROUPED}",
     "grouped_admissions_by_region": f"""WITH {CLEAN}

@@ -21,7 +21,7 @@ from wardcast.operators.indicators import (
 )
 from wardcast.operators.projection import interpolate_series, project_costs
 from wardcast.operators.secondary import secondary_profile
-from wardcast.operators.territory import territory_table
+from wardcast.operators.territory import facility_totals, territory_table
 from wardcast.plans.dashboard import projection_series, secondary_ranking
 from wardcast.schemas import COHORT, COHORT_PARTITIONS, COMORBIDITY, INDICATORS, TABLES, TERRITORY, projection_table
 from wardcast.sources import landing, tables
@@ -109,7 +109,7 @@ def build_rankings(
     """
     spark = raw.sparkSession
     ranked = territory_table(
-        cohort.withColumnRenamed("state", "region"), projection, names, territory_spec, projection_spec.base_year
+        facility_totals(cohort.withColumnRenamed("state", "region"), ["region"]), projection, names, territory_spec, projection_spec.base_year
     )
     tables.write_csv(tables.conform(ranked, TERRITORY), out_territory)
     tables.write_csv(tables.conform(secondary_profile(raw, cohort_spec, descriptions), COMORBIDITY), out_comorbidity)

@@ -174,5 +174,12 @@ def population_anchors(spark: SparkSession, sf_dir: str, keys: Sequence[str] = (
     return orders_per_period(spark, sf_dir, keys).select(*keys, "year", rate.alias("pop_millions"))
 
 
+def facility_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(facility_id, region) of every supplier."""
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return supplier.select(F.col("s_suppkey").cast("string").alias("facility_id"), F.col("n_regionkey").alias("region"))
+
+
 def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))

@@ -116,6 +116,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
+def loadable(df: DataFrame, table: TableDef, renames: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows as the table takes them: columns renamed, conformed, and their key checked."""
+    rows = conform(df.withColumnsRenamed(dict(renames or {})), table.schema)
+    return check_key(rows, table.key) if table.key else rows
+
+
 def load_table(df: DataFrame, name: str, table: TableDef, renames: Mapping[str, str] | None = None) -> int:
     """Write ``df`` to the catalog table ``name`` and return the number of rows loaded.
 
@@ -123,9 +129,7 @@ def load_table(df: DataFrame, name: str, table: TableDef, renames: Mapping[str,
     replace the partitions present in ``df``, others are replaced whole.
     """
     spark = df.sparkSession
-    rows = conform(df.withColumnsRenamed(dict(renames or {})), table.schema)
-    if table.key:
-        check_key(rows, table.key)
+    rows = loadable(df, table, renames)
     if not spark.catalog.tableExists(name):
         create = spark.createDataFrame([], table.schema).write.format("parquet").mode("errorifexists")
         if table.partition_by:
@@ -152,9 +156,7 @@ def write_jdbc(df: DataFrame, url: str, name: str, properties: Mapping[str, str]
     A database has no partitions to replace, so unlike ``load_table`` a second run appends the rows again,
     or fails where the database holds the table's key unique. Empty the table first to load it anew.
     """
-    rows = conform(df, table.schema)
-    if table.key:
-        check_key(rows, table.key)
+    rows = loadable(df, table)
     rows.write.option("batchsize", batch_size).jdbc(url, name, mode="append", properties=dict(properties))
 
 
