@@ -106,16 +106,15 @@ def _best(own: pa.Table, asked: pa.Table, dimension: int, k: int) -> Iterator[pa
     v1, v2 = own["v1"].to_numpy()[j], own["v2"].to_numpy()[j]
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1])
-    of, j, score = of[new], j[new], score[new]
-    rank = np.arange(len(of)) - np.searchsorted(of, of)
-    keep = rank < k
-    of, j, score = of[keep], j[keep], score[keep]
+    of, j, v1, v2, score = of[new], j[new], v1[new], v2[new], score[new]
+    keep = np.arange(len(of)) - np.searchsorted(of, of) < k
+    of, j, v1, v2, score = of[keep], j[keep], v1[keep], v2[keep], score[keep]
     yield pa.table(
-        {"q1": names[of, 0], "q2": names[of, 1], "v1": own["v1"].take(pa.array(j)), "v2": own["v2"].take(pa.array(j)), "score": score}
+        {"q1": names[of, 0], "q2": names[of, 1], "v1": v1, "v2": v2, "low": low[j], "score": score}
     )
 
 
-_FOUND = "q1 long, q2 long, v1 long, v2 long, score double"
+_FOUND = "q1 long, q2 long, v1 long, v2 long, low long, score double"
 
 
 def _met(index: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFrame:
@@ -128,7 +127,7 @@ def _met(index: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFra
     return index.groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(each, _FOUND)
 
 
-_TYPES = [(n, pa.int64()) for n in ("q1", "q2", "v1", "v2")] + [("score", pa.float64())]
+_TYPES = [(n, pa.int64()) for n in ("q1", "q2", "v1", "v2", "low")] + [("score", pa.float64())]
 
 
 def nearest(
@@ -202,9 +201,10 @@ def nearest(
     spread = once.withColumns({"bucket": F.lit(0), "part": F.pmod("v1", F.lit(n)).cast("int")})
     found = found.unionByName(_met(spread, everywhere, dimension, k + 1))
 
-    merged = found.groupBy("q1", "q2", "v1", "v2").agg(F.max("score").alias("score")).join(once.select("v1", "v2", "low", "ids"), ["v1", "v2"])
+    merged = found.groupBy("q1", "q2", "v1", "v2", "low").agg(F.max("score").alias("score"))
     ahead = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "low")
     merged = merged.withColumn("place", F.row_number().over(ahead)).where(F.col("place") <= k + 1)
+    merged = merged.join(once.select("v1", "v2", "ids"), ["v1", "v2"])
     asking = good.where("asked").select(F.col("id").alias("query_id"), F.col("v1").alias("q1"), F.col("v2").alias("q2"))
     out = asking.join(merged.select("q1", "q2", "score", F.explode("ids").alias("id")), ["q1", "q2"]).where("id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
