@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardcast.llm.exchange import partitions
 from wardcast.llm.storage import saved
 from wardcast.llm.words import mix
 
-BLOCK = 16_384
+#: About so many indexed vectors meet their probes in one task, and at most so many of one bucket.
+BLOCK = 8_192
 
 
 class Tables:
@@ -141,8 +141,6 @@ def nearest(
     values that are not finite, or whose length is not the most frequent one, take no part. Repeated rows are
     candidates each. With k candidates or fewer, all are returned. Other columns are ignored.
     """
-    n = partitions(rows.sparkSession)
-    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     good = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.where("id IS NOT NULL AND vector IS NOT NULL").where(fine & F.exists("vector", lambda x: x != 0))
@@ -159,7 +157,8 @@ def nearest(
         F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("low"), F.first("vector").alias("vector"), F.max("square").alias("square")
     )
     once = saved(once)
-    longest = float(once.agg(F.max("square")).first()[0] or 1.0) ** 0.5
+    square, many = once.agg(F.max("square"), F.count("*")).first()
+    longest, n = float(square or 1.0) ** 0.5, max(-(-many * tables // BLOCK), 1)
     wanted = saved(good.where("asked").groupBy("v1", "v2").agg(F.first("vector").alias("vector")).withColumnsRenamed({"v1": "q1", "v2": "q2"}))
     hashed = Tables(dimension, tables, projections, width, probes, seed)
 
@@ -197,8 +196,9 @@ def nearest(
 
     counts = found.groupBy("q1", "q2").agg(F.count_distinct("v1", "v2").alias("many"))
     short = wanted.join(counts.where(F.col("many") > k), ["q1", "q2"], "left_anti")
-    everywhere = short.withColumns({"bucket": F.lit(0), "part": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
-    spread = once.withColumns({"bucket": F.lit(0), "part": F.pmod("v1", F.lit(n)).cast("int")})
+    blocks = max(-(-many // BLOCK), 1)
+    everywhere = short.withColumns({"bucket": F.lit(0), "part": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    spread = once.withColumns({"bucket": F.lit(0), "part": F.pmod("v1", F.lit(blocks)).cast("int")})
     found = found.unionByName(_met(spread, everywhere, dimension, k + 1))
 
     merged = found.groupBy("q1", "q2", "v1", "v2", "low").agg(F.max("score").alias("score"))
