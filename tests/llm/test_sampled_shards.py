@@ -48,6 +48,21 @@ def test_copies_beyond_a_share_are_split(spark):
     assert max(size) < 1.1 * sum(size) / 4
 
 
+@pytest.mark.parametrize("copies", [2000, 400])
+def test_copies_are_split_whatever_else_their_range_holds(spark, monkeypatch, copies):
+    monkeypatch.setattr(shards, "RANGES", 16)
+    units = []
+    monkeypatch.setattr(shards, "assigned", lambda found, *a, f=shards.assigned: units.extend(found) or f(found, *a))
+    rows = [(i, " ".join(prose(i, 10)), "s") for i in range(4000)]
+    rows += [(10_000 + i, " ".join(prose(9999, 10)), "s") for i in range(copies)]
+    got = shards.sharded(documents(spark, rows), shards=4).collect()
+    check(rows, got, 4)
+    size = loads(got, 4)
+    assert max(size) < 1.05 * sum(size) / 4
+    assert max(u[3] for u in units) < 1.5 * shards.OVERFULL * sum(size) / 64
+    assert len({r.shard for r in got if r.doc_id >= 10_000}) == (4 if copies == 2000 else 1)
+
+
 @pytest.mark.parametrize("many", [1, 3, 8])
 def test_awkward_rows(spark, many):
     check(awkward(), shards.sharded(documents(spark, awkward()), shards=many).collect(), many)

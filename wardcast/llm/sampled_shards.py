@@ -3,9 +3,10 @@
 Keys are fingerprints of the texts, so equal texts are neighbours. A sample of keys, drawn in proportion to size,
 gives the quantiles that cut the key space into ranges of nearly equal bytes, many for each shard; the driver
 holds the sample, which has ``DRAWS`` keys for each range at any size of the input. Ranges that
-turn out overfull are subdivided: by a hash of the key first, which keeps equal texts together, and where equal
-texts alone overfill a part, by a hash of the identifier. The counted ranges, whose number is a parameter,
-are then given to shards, the largest first to the emptiest.
+turn out overfull are subdivided. A text whose copies alone would overfill a range becomes a part of its own, cut by
+a hash of the identifier, whatever else the range holds; the other texts of the range are dealt by a hash of the
+key, which keeps equal ones together. There are at most as many such texts and overfull ranges as ranges. The
+counted ranges, whose number is a parameter, are then given to shards, the largest first to the emptiest.
 
 Equal texts share a shard unless they alone are more than a shard's share of all bytes.
 """
@@ -58,11 +59,16 @@ def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards:
     placed = rows.withColumn("range", range_of("key"))
     most_bytes, most_rows = OVERFULL * total / ranges, OVERFULL * many / ranges
     pieces = F.greatest(F.ceil(F.sum("size") / F.lit(max(most_bytes, 1))), F.ceil(F.count("*") / F.lit(max(most_rows, 1))))
-    split = placed.groupBy("range").agg(pieces.alias("parts")).where("parts > 1")
-    placed = _spread(placed, split, ["range"], "part", F.xxhash64("key", F.lit(seed)))
-    split = placed.groupBy("range", "part").agg(pieces.alias("parts"), F.min("key").alias("low"), F.max("key").alias("high"))
-    split = split.where("parts > 1 AND low = high").select("range", "part", "parts")
-    placed = saved(_spread(placed, split, ["range", "part"], "piece", F.xxhash64("id", F.lit(seed))))
+    full = placed.groupBy("range").agg(pieces.alias("parts")).where("parts > 1").select("range")
+    alone = placed.join(F.broadcast(full), "range", "left_semi").groupBy("key").agg(pieces.alias("pieces")).where("pieces > 1")
+    alone = [(r.key, -1 - i, r.pieces) for i, r in enumerate(sorted(alone.collect()))]
+    alone = docs.sparkSession.createDataFrame(alone, "key long, own long, pieces long")
+    placed = placed.join(F.broadcast(alone), "key", "left")
+    split = placed.where("own IS NULL").groupBy("range").agg(pieces.alias("parts")).where("parts > 1")
+    hashed = F.pmod(F.xxhash64("key", F.lit(seed)), F.coalesce("parts", F.lit(1)))
+    piece = F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("pieces", F.lit(1)))
+    placed = placed.join(F.broadcast(split), "range", "left").withColumns({"part": F.coalesce("own", hashed), "piece": piece})
+    placed = saved(placed.drop("own", "pieces", "parts"))
 
     counted = placed.groupBy("range", "part", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     units = assigned([tuple(r) for r in counted.collect()], shards, total)
@@ -74,12 +80,6 @@ def sharded(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards:
     return out.select(F.col("id").alias(id), "size", "text_crc32", "shard", slot.alias("slot"))
 
 
-def _spread(rows: DataFrame, split: DataFrame, by: list[str], name: str, value) -> DataFrame:
-    """The rows with the number of their part; ``split`` says into how many parts the overfull go."""
-    told = rows.join(split, by, "left")
-    return told.withColumn(name, F.pmod(value, F.coalesce("parts", F.lit(1)))).drop("parts")
-
-
 def assigned(units: list[tuple], shards: int, total: int) -> list[tuple]:
     """(range, part, piece, shard, first slot) for (range, part, piece, bytes, rows).
 
