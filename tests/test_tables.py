@@ -249,3 +249,16 @@ def test_landing_parquet_takes_any_type(spark, tmp_path):
     assert seen == [("F00", "81", "12.5"), ("F01", "82", "7.25"), ("F02", None, None)]
     with pytest.raises(PySparkException):
         landing.read_admissions(spark, str(tmp_path / "none"))
+
+
+def test_landing_parquet_files_of_one_directory_may_lack_columns(spark, tmp_path):
+    month = str(tmp_path / "state=SP" / "year=2024" / "month=1")
+    spark.createDataFrame([("F00",)], "DIAG_PRINC string").coalesce(1).write.parquet(month)
+    spark.createDataFrame([("F01", 82)], "DIAG_PRINC string, IDADE int").coalesce(1).write.mode("append").parquet(month)
+    spark.createDataFrame([("F02", 1.5)], "DIAG_PRINC string, VAL_TOT double").coalesce(1).write.mode("append").parquet(month)
+    got = landing.read_admissions(spark, str(tmp_path)).collect()
+    seen = sorted((r["DIAG_PRINC"], r["IDADE"], r["VAL_TOT"]) for r in got)
+    assert seen == [("F00", None, None), ("F01", "82", None), ("F02", None, "1.5")]
+    spark.createDataFrame([("F03", "83")], "DIAG_PRINC string, IDADE string").coalesce(1).write.mode("append").parquet(month)
+    with pytest.raises(Exception, match="Failed to merge incompatible data types"):
+        landing.read_admissions(spark, str(tmp_path))

@@ -37,8 +37,9 @@ def read_admissions(
 
     The three selections are partition columns, so other directories are not read. Columns are matched by
     name: files may lack some of the fields, which read as NULL there, may have them in any order, and may
-    have other ones, which are dropped. Parquet fields may have any type. Directories whose files look alike
-    are one scan; within a directory all files must look alike, and a CSV header that differs raises.
+    have other ones, which are dropped. Parquet fields may have any type, the same within a directory: one that
+    has two there raises. Directories with the same columns are one scan; within a directory, a CSV header that
+    differs raises.
     """
     selection = {"state": {str(s) for s in states}, "year": {str(y) for y in years}, "month": {str(m) for m in months}}
     reader = spark.read.option("basePath", path).option("header", True)
@@ -77,8 +78,8 @@ def _directories(files: Iterable[str], selection: dict[str, set[str]]) -> list[s
 
 
 def _columns(spark: SparkSession, directory: str, file_format: str) -> tuple[tuple[str, T.DataType], ...]:
-    """Names and types of the columns in a directory: the header of a CSV file, the schema of a Parquet file."""
-    found = spark.read.option("header", True).format(file_format).load(directory).schema
+    """Names and types of the columns in a directory: the header of a CSV file, the schemas of all Parquet files."""
+    found = spark.read.option("header", True).option("mergeSchema", True).format(file_format).load(directory).schema
     return tuple((f.name, f.dataType) for f in found.fields if f.name not in LANDING_PARTITIONS.names)
 
 
