@@ -35,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = partenum_join.near_duplicates(docs, size=5, threshold=partenum_join.Threshold(80, 100))
     first = found.where("n_shingles > 0 AND doc_id = component_id").select("doc_id").distinct().withColumn("_first", F.lit(True))
     once = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    rows = docs.join(first, "doc_id", "left").withColumn("_place", F.row_number().over(once))
+    rows = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left").withColumn("_place", F.row_number().over(once))
     wordless = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return rows.where(wordless | F.col("doc_id").isNull() | (F.col("_first") & (F.col("_place") == 1))).select(*docs.columns)
+    known = rows.where(wordless | (F.col("_first") & (F.col("_place") == 1))).select(*docs.columns)
+    return known.unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

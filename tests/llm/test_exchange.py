@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import pyarrow.compute as pc
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.rows import documents, prose
+from tests.llm.test_partenum_join import ordered, plain
+from wardcast.llm import doubling_dedup, exchange, interpolated_lm, partenum_join
+
+
+class Dealt(Exception):
+    pass
+
+
+def lm(docs):
+    return interpolated_lm.scores(docs, id="doc_id", text="text", train=F.lit(True), tune=F.col("doc_id") == 1)
+
+
+@pytest.mark.parametrize("job", [lm, doubling_dedup.without_repeats, partenum_join.near_duplicates])
+def test_rows_without_an_id_or_with_a_repeated_one_are_dealt(spark, monkeypatch, job):
+    def stop(*args, chunks=exchange.chunks):
+        raise Dealt(chunks(*args))
+
+    monkeypatch.setattr(exchange, "chunks", stop)
+    rows = [(7 if i % 2 else None, " ".join(prose(i, 12)), "s") for i in range(400)]
+    with pytest.raises(Dealt) as dealt:
+        job(documents(spark, rows))
+    got = dealt.value.args[0].toArrow()
+    sizes = [exchange.unpacked(got.filter(pc.equal(got["chunk"], c))["packed"]).num_rows for c in pc.unique(got["chunk"])]
+    assert sum(sizes) == 400
+    assert max(sizes) < 100
+
+
+def test_equal_sets_of_one_id_and_of_none_in_many_chunks(spark):
+    """Texts that differ in case alone lie in different chunks."""
+    base = [" ".join(prose(i, 12)) for i in range(20)]
+    rows = [(i % 3 if i % 4 else None, (t.upper() if k else t) + " " * k, "s") for i, t in enumerate(base) for k in range(4)]
+    rows += [(100 + i, t, "s") for i, t in enumerate(base[:8])]
+    rows += [(None, " ".join(prose(99, 12)), "s")] * 3
+    got = partenum_join.near_duplicates(documents(spark, rows)).collect()
+    assert ordered(got) == ordered(plain(rows, 4, 85, 100))

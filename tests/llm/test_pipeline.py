@@ -103,3 +103,15 @@ def test_rows_without_ids_or_words_stay(spark):
     mixed = pipeline.mixing(spark, docs, "").collect()
     assert all(r in docs.collect() for r in mixed)
     assert len(pipeline.sharding(spark, docs, "").collect()) == 6
+
+
+def test_only_rows_with_an_id_are_numbered(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(None, f"a b c d e {i}", "en", "s", 11) for i in range(5)] + [(1, "a b c", "en", "s", 5)], kind)
+    kept = pipeline.near_duplicates(spark, docs, "")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [row_number()") :]
+    below = below[below.index("Join ") :]
+    own = below[: below.index("LogicalRDD")]
+    assert "Filter isnotnull(doc_id" in own
+    assert kept.count() == 6

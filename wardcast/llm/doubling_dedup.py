@@ -102,7 +102,7 @@ def without_repeats(
     """
     n, steps = X.partitions(docs.sparkSession), lengths(length, shortest)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    dealt = X.chunks(rows, F.col("id"), n)
+    dealt = X.chunks(rows, n)
 
     def state(table: pa.Table, got: pa.Table | None, levels: int) -> _Level:
         answers = [X.answered(got, k) for k in range(levels)]

@@ -1,6 +1,7 @@
 """Asking the whole corpus about hashed keys.
 
-Texts are dealt into chunks by a hash of their identifier. A chunk sends each of its distinct keys
+Texts are dealt into chunks by a hash of their identifier and text, so that rows without an identifier, or with a
+repeated one, are dealt too; only rows equal in both are sure to share a chunk. A chunk sends each of its distinct keys
 once to the bucket that owns it; the bucket answers every chunk in the order it asked. A key that a
 third of all texts hold therefore costs one entry per chunk, and no task sees more than its share of
 the keys. Chunks and buckets number ``spark.sql.shuffle.partitions``, which grows with the input.
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASKED = "chunk int, bucket int, kind int, keys binary"
@@ -26,12 +27,8 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def chunk_of(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(n)).cast("int")
-
-
-def chunks(docs: DataFrame, key: Column, n: int) -> DataFrame:
-    """All columns of the rows, packed and compressed per chunk, one chunk in each of n partitions.
+def chunks(docs: DataFrame, n: int) -> DataFrame:
+    """All columns of the rows (id, text, ...), packed and compressed per chunk, one chunk in each of n partitions.
 
     A chunk's rows come in no fixed order. Read them with ``unpacked``.
     """
@@ -45,7 +42,8 @@ def chunks(docs: DataFrame, key: Column, n: int) -> DataFrame:
                 blob = pa.array([packed(rows.take(pa.array(order[edges[c] : edges[c + 1]])))], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), blob], names=["chunk", "packed"])
 
-    dealt = docs.select(chunk_of(key, n).alias("chunk"), *docs.columns)
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")
+    dealt = docs.select(chunk.alias("chunk"), *docs.columns)
     return dealt.mapInArrow(pack, "chunk int, packed binary").repartitionById(n, F.col("chunk"))
 
 

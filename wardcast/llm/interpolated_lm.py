@@ -228,7 +228,7 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
     n = X.partitions(docs.sparkSession)
     marks = {"train": F.coalesce(train, F.lit(False)), "tune": F.coalesce(train & tune, F.lit(False))}
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[c.alias(k) for k, c in marks.items()])
-    dealt = X.chunks(rows, F.col("id"), n)
+    dealt = X.chunks(rows, n)
 
     def ask(chunk: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         tokens, bounds = _tokens(table["text"])
