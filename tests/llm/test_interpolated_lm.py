@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.rows import WORDS, awkward, documents, lower
 from wardcast.llm import interpolated_lm as lm
+from wardcast.llm import queries
 
 
 def bucket(count: int) -> int:
@@ -105,3 +106,12 @@ def test_learned_weights_beat_even_ones_on_held_out_text(spark, sf_dir):
     out = lm.scores(docs, id="doc_id", text="text", train=F.col("doc_id") % 7 != 2, tune=F.col("doc_id") % 7 == 3)
     better = out.where("doc_id % 7 = 2").agg(F.sum("score"), F.sum("base_score")).first()
     assert better[0] > better[1]
+
+
+def test_the_query_scores_held_out_text_better_than_bigrams(spark, sf_dir, monkeypatch):
+    def mean(**more):
+        monkeypatch.setattr(queries.interpolated_lm, "scores", lambda *a, **k: full(*a, **k | more))
+        return queries.op1_interpolated_lm(spark, sf_dir).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+
+    full = queries.interpolated_lm.scores
+    assert mean() > mean(order=2) + 0.01

@@ -32,12 +32,12 @@ def _fold(column: str, folds: int, fold: int) -> Column:
 
 
 def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores; an eighth of the learned-from texts is held out to learn the weights."""
+    """Trigram scores; an eighth of the learned-from texts is held out to learn the weights."""
     docs = table(spark, sf_dir, "documents")
     held_out = _fold("doc_id", 7, 2)
     tune = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / F.lit(7)) % 8 == 0
     known = F.col("doc_id").isNotNull()
-    out = interpolated_lm.scores(docs, id="doc_id", text="text", train=known & ~held_out, tune=tune, order=2)
+    out = interpolated_lm.scores(docs, id="doc_id", text="text", train=known & ~held_out, tune=tune, order=3)
     return out.withColumn("held_out", held_out)
 
 
