@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tests.llm.rows import awkward, frame
+from wardcast.llm import merkle_manifest as merkle
+from wardcast.llm import numbering
+
+FIELDS = ("doc_id", "source", "text")
+
+
+def digest(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def value(x) -> str:
+    return "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+
+def climbed(nodes: list[str]) -> tuple[str, list[list[str]]]:
+    """The root of the nodes, and each one's siblings, level by level."""
+    below, proofs = [[i] for i in range(len(nodes))], [[] for _ in nodes]
+    while len(nodes) > 1:
+        grown, under = [], []
+        for low in range(0, len(nodes), 8):
+            run = nodes[low : low + 8]
+            for i in range(len(run)):
+                for leaf in below[low + i]:
+                    proofs[leaf].append("".join(run[:i] + run[i + 1 :]))
+            grown.append(digest(*run))
+            under.append([leaf for own in below[low : low + 8] for leaf in own])
+        nodes, below = grown, under
+    return nodes[0], proofs
+
+
+def plain(rows):
+    groups: dict = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append((row[0], digest(*map(value, row))))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    done = {}
+    for g in order:
+        groups[g].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        done[g] = climbed([leaf for _, leaf in groups[g]])
+    root, above = climbed([done[g][0] for g in order])
+    out = []
+    for g, upper in zip(order, above, strict=True):
+        subroot, proofs = done[g]
+        out += [(i, leaf, subroot, root, digest(*own, *upper)) for (i, leaf), own in zip(groups[g], proofs, strict=True)]
+    return Counter(out)
+
+
+def made(spark, rows):
+    df = frame(spark, rows, FIELDS, (T.LongType(), T.StringType(), T.StringType()))
+    return merkle.manifest(df, id="doc_id", group="source", leaf=merkle.row_digest(FIELDS), carry={"text": F.lit("kept")})
+
+
+def seen(df):
+    proof = merkle.proof_digest(F.col("proof"))
+    return Counter(map(tuple, df.select("doc_id", "leaf", "subroot", "root", proof).collect()))
+
+
+def test_awkward_rows(spark):
+    rows = [(i, s, t) for i, t, s in awkward()]
+    got = made(spark, rows)
+    assert seen(got) == plain(rows)
+    assert {r.text for r in got.collect()} == {"kept"}
+
+
+@pytest.mark.parametrize("counts", [(1,), (2, 1), (8, 9, 1), (600, 3), (4100, 513, 64, 65)])
+def test_tree_shapes(spark, counts, monkeypatch):
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 300)
+    rng = random.Random(7)
+    rows = [(i, f"s{g}", f"text {rng.random()}") for g, n in enumerate(counts) for i in range(n)]
+    rng.shuffle(rows)
+    got = made(spark, rows)
+    assert seen(got) == plain(rows)
+    folded = got.select((merkle.folded(F.col("leaf"), F.col("proof")) == F.col("root")).alias("ok"))
+    assert folded.where("NOT ok").isEmpty()
+    other = got.select((merkle.folded(F.sha2("leaf", 256), F.col("proof")) == F.col("root")).alias("ok"))
+    assert other.where("ok").isEmpty()
+
+
+def test_many_groups_and_repeated_rows(spark):
+    rows = [(i % 3, f"g{i:03d}", "x") for i in range(70)] + [(5, None, "same")] * 20 + [(None, "g000", None)] * 9
+    assert seen(made(spark, rows)) == plain(rows)
+
+
+def test_empty_table(spark):
+    assert made(spark, []).collect() == []
+
+
+def test_block_sizes_stay_small():
+    received, last, count = merkle.swept([digest(str(i)) for i in range(512)], 5000)
+    assert len(received) == 64 + 8 + 1 and count == 10 and len(last) == 64
+    assert merkle.swept(["a"], 1) == ({}, "a", 1)

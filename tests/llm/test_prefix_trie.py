@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tests.llm.rows import frame
+from wardcast.llm import prefix_trie, queries
+
+NAMES, KINDS = ("conv_id", "turn", "role", "text"), (T.LongType(), T.LongType(), T.StringType(), T.StringType())
+
+
+def plain(rows):
+    own: dict = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(v, key=lambda t: t[0])] for c, v in own.items()}
+    whole = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = own.get(c - int(math.fmod(c, 5)), [])[:h] + turns[h:]
+    members: dict = defaultdict(list)
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children: dict = defaultdict(list)
+    for path in members:
+        if path:
+            children[path[:-1]].append(path)
+    sums = {}
+    for path in sorted(members, key=len, reverse=True):
+        size = len(path[-1][1].encode()) if path else 0
+        below = [sums[p] for p in children[path]]
+        sums[path] = (sum(b[0] for b in below) or 1, (len(members[path]) - 1) * size + sum(b[1] for b in below))
+    out = []
+    for path, ids in members.items():
+        ends = ",".join(str(c) for c in sorted(ids) if len(whole[c]) == len(path))
+        parent = min(members[path[:-1]]) if path else None
+        out.append((min(ids), len(path), parent, len(ids), len(children[path]), *sums[path], hashlib.sha256(ends.encode()).hexdigest()))
+    return Counter(out)
+
+
+def seen(spark, rows, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: frame(spark, rows, NAMES, KINDS))
+    return Counter(map(tuple, queries.op12_prefix_trie(spark, "").collect()))
+
+
+def conversations(seed: int, n: int, longest: int, words: int = 3):
+    rng = random.Random(seed)
+    out = [(c, t, rng.choice(["user", None, "assistant"]), rng.choice(["é" * k for k in range(words)] + [None])) for c in range(n) for t in range(rng.randint(1, longest))]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("shard", "band", "longest"), [(4096, 1024, 12), (5, 1024, 9), (4, 3, 14), (64, 2, 30), (1, 1, 12)])
+def test_against_plain_code(spark, monkeypatch, shard, band, longest):
+    monkeypatch.setattr(prefix_trie, "SHARD", shard)
+    monkeypatch.setattr(prefix_trie, "BAND", band)
+    rows = conversations(shard + band, 60, longest)
+    assert seen(spark, rows, monkeypatch) == plain(rows)
+
+
+def test_copies_long_conversations_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "SHARD", 7)
+    monkeypatch.setattr(prefix_trie, "BAND", 16)
+    same = [(c, t, "user", f"turn {t}") for c in range(100, 160) for t in range(20)]
+    long = [(c, t, "user", f"turn {t}" if t < 50 else f"{c} {t}") for c in (3, 4, 205) for t in range(90)]
+    odd = [(7, None, None, None), (7, 0, "user", ""), (None, 0, "user", "no conversation"), (-3, 1, "a", "b"), (8, 2, "x", "y" * 100_000)]
+    rows = same + long + odd + [(c + 1000, *rest) for c, *rest in conversations(3, 30, 4)[:40]]
+    assert seen(spark, rows, monkeypatch) == plain(rows)
+
+
+def test_turns_of_equal_number_are_all_kept(spark, monkeypatch):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "a")]
+    got = seen(spark, rows, monkeypatch)
+    assert got == seen(spark, rows[::-1], monkeypatch)
+    assert max(r[1] for r in got) == 3 - min(3, zlib.crc32(b"1") % 9)
+
+
+def test_empty_table(spark, monkeypatch):
+    assert seen(spark, [], monkeypatch) == Counter()
+
+
+def test_end_lists_ascend_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "SHARD", 3)
+    own = prefix_trie.turns(frame(spark, [(c, 0, "user", "hi") for c in range(11)], NAMES, KINDS))
+    nodes, lists = prefix_trie.trie(own.select("conv_id", "of").distinct(), own)
+    assert [r.ends for r in lists.orderBy("shard").collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10]]
+    assert sorted((r.depth, r.conv_id, r.n, r.children) for r in nodes.collect()) == [(0, 0, 11, 1), (1, 0, 11, 0)]
+    assert nodes.where(F.col("parent") == 0).count() == 1

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import check_sql, gam_quality, interpolated_lm, multiprobe_ann, partenum_join, phrase_index, pivotal_mix, sampled_shards, warc_bundles, wildcard_urls
+from wardcast.llm import (
+    check_sql,
+    density_extract,
+    gam_quality,
+    interpolated_lm,
+    merkle_manifest,
+    multiprobe_ann,
+    partenum_join,
+    phrase_index,
+    pivotal_mix,
+    prefix_trie,
+    sampled_shards,
+    warc_bundles,
+    wildcard_urls,
+)
 from wardcast.llm.doubling_dedup import without_repeats
 from wardcast.llm.storage import saved
 
@@ -107,6 +121,39 @@ def op10_wildcard_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wildcard_urls.judged(pages, rules, default="allow").drop("url")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.translate("text", phrase_index.UPPER, phrase_index.LOWER)
+    leaf, lowered = (merkle_manifest.row_digest(["doc_id", "source", "lang", "n_chars", t]) for t in ("text", text))
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    claimed = {"claimed": F.when(changed, lowered).otherwise(leaf)}
+    out = merkle_manifest.manifest(docs, id="doc_id", group="lang", leaf=leaf, carry=claimed)
+    proven = merkle_manifest.folded(F.col("claimed"), F.col("proof")).alias("folded_root")
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), proven)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    nodes, lists = prefix_trie.trie(*prefix_trie.rebuilt(own, base=F.col("conv_id") - F.col("conv_id") % 5, head=head))
+    out = nodes.join(prefix_trie.ends_digest(lists), prefix_trie.KEY, "left")
+    return out.select(
+        "conv_id",
+        "depth",
+        F.col("parent").alias("parent_conv_id"),
+        F.col("n").alias("n_convs"),
+        F.col("children").alias("n_children"),
+        F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+def op13_density_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density_extract.extracted(table(spark, sf_dir, "pages"), id="page_id", url="url", page="html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_lm": op1_interpolated_lm,
     "op2_gam_quality": op2_gam_quality,
@@ -118,6 +165,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_bundles": op8_warc_bundles,
     "op9_phrase_index": op9_phrase_index,
     "op10_wildcard_urls": op10_wildcard_urls,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_density_extract": op13_density_extract,
 }
 
 CHECK_SQL: dict[str, str] = {
@@ -126,4 +176,6 @@ CHECK_SQL: dict[str, str] = {
     "op8_warc_bundles": check_sql.WARC_BUNDLES,
     "op9_phrase_index": check_sql.PHRASE_INDEX,
     "op10_wildcard_urls": check_sql.wildcard_urls(URL_RULES),
+    "op11_merkle_manifest": check_sql.MERKLE_MANIFEST,
+    "op12_prefix_trie": check_sql.PREFIX_TRIE,
 }

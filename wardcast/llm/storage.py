@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or one of its own only where none is named."""
+    """The shared folder: ``spark.checkpoint.dir``. Where none is named, a session within one machine makes one; on a
+    cluster that is an error, since executors would not see each other's files."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardcast-"))
     return context.getCheckpointDir()
 
