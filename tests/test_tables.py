@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+import uuid
 from decimal import Decimal
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardcast.schemas import CLEAN, COMORBIDITY, INDICATORS, RAW, TABLES, TableDef, projection_table
+from wardcast.schemas import ANCHORS, CLEAN, COMORBIDITY, INDICATORS, RAW, TABLES, TableDef, projection_table
 from wardcast.sources import landing, tables
 
 RAW_FIELDS = "DIAG_PRINC string, MUNIC_RES string"
@@ -262,3 +267,170 @@ def test_landing_parquet_files_of_one_directory_may_lack_columns(spark, tmp_path
     spark.createDataFrame([("F03", "83")], "DIAG_PRINC string, IDADE string").coalesce(1).write.mode("append").parquet(month)
     with pytest.raises(Exception, match="Failed to merge incompatible data types"):
         landing.read_admissions(spark, str(tmp_path))
+
+
+def jobs_of(spark, build):
+    """What ``build`` returns, and the number of Spark jobs that it started."""
+    group = f"group-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        made = build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def counted(spark, rows, kinds):
+    """The rows, and a counter of how many have been evaluated."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, kinds)
+    return df.mapInArrow(each, df.schema), seen
+
+
+@pytest.mark.parametrize("name", ["comorbidity", "admissions"])
+def test_a_load_evaluates_its_input_once(spark, name):
+    kinds = {"comorbidity": "code string, admissions long", "admissions": "diag_code string, file_month int"}[name]
+    for _ in range(2):
+        df, seen = counted(spark, [(f"F{i}", i) for i in range(10)], kinds)
+        assert tables.load_table(df, f"once_{name}", TABLES[name]) == 10
+        assert seen.value == 10
+    assert spark.table(f"once_{name}").count() == 10
+
+
+@pytest.mark.parametrize("bad", [("J18", 1), ("x" * 11, 1)])
+def test_a_failed_load_leaves_the_table(spark, bad):
+    name = f"kept_{len(bad[0])}"
+    tables.load_table(spark.createDataFrame([("J18", 7)], "code string, admissions long"), name, TABLES["comorbidity"])
+    home = spark.catalog.getDatabase("default").locationUri.removeprefix("file:")
+    before = {p.name for p in Path(home).iterdir()}
+    with pytest.raises((tables.DuplicateKeyError, PySparkException)):
+        tables.load_table(spark.createDataFrame([("J18", 1), bad], "code string, admissions long"), name, TABLES["comorbidity"])
+    assert [(r["code"], r["admissions"]) for r in spark.table(name).collect()] == [("J18", 7)]
+    assert {p.name for p in Path(home).iterdir()} == before
+
+
+def test_tables_are_dropped_with_their_files(spark):
+    home = Path(spark.catalog.getDatabase("default").locationUri.removeprefix("file:"))
+    for _ in range(3):
+        tables.load_table(spark.createDataFrame([("J18", 7)], "code string, admissions long"), "gone", TABLES["comorbidity"])
+    assert len(list(home.glob("gone*"))) == 1
+    spark.sql("DROP TABLE gone")
+    assert not list(home.glob("gone*"))
+    assert tables.load_table(spark.createDataFrame([("J18", 7)], "code string, admissions long"), "gone", TABLES["comorbidity"]) == 1
+
+
+def test_changed_comments_reach_an_existing_table(spark):
+    old = TABLES["comorbidity"]
+    df = spark.createDataFrame([("J18", 7)], "code string, admissions long")
+    tables.load_table(df, "commented", old)
+    assert tables.describe_table(spark, "commented", old) == []
+    fields = [T.StructField("code", T.StringType(), True, {"comment": "It's new."}), *old.schema.fields[1:]]
+    new = TableDef(T.StructType(fields), "Another \\ comment", key=old.key)
+    assert tables.describe_table(spark, "commented", new) == ["commented", "code"]
+    tables.load_table(df, "commented", new)
+    assert {r["column"]: r["comment"] for r in tables.descriptions(spark, "commented").collect()}["code"] == "It's new."
+    assert spark.catalog.getTable("commented").description == "Another \\ comment"
+
+
+def test_unreadable_csv_cells_are_not_lost(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("year,pop_millions\nabc,34.6\n2030,x\n2031,40.3\n2032,41,9\n")
+    with pytest.raises(PySparkException, match="unreadable row: (abc,34.6|2030,x|2032,41,9)"):
+        tables.read_csv(spark, str(tmp_path / "t"), ANCHORS).count()
+    with pytest.raises(PySparkException, match="unreadable row"):
+        tables.read_csv(spark, str(tmp_path / "t"), ANCHORS).select("year").collect()
+    got = tables.read_csv(spark, str(tmp_path / "t"), ANCHORS, keep_unreadable=True).collect()
+    assert {r["unreadable"] for r in got} == {"abc,34.6", "2030,x", None, "2032,41,9"}
+    assert [(r["year"], r["pop_millions"]) for r in got if r["unreadable"] is None] == [(2031, 40.3)]
+    assert [(r["year"], r["pop_millions"]) for r in got if r["unreadable"] == "abc,34.6"] == [(None, 34.6)]
+    assert tuple(tables.csv_quality(spark, str(tmp_path / "t"), ANCHORS).first()) == (4, 3, "2030,x")
+
+
+def test_files_are_replaced_when_all_are_written(spark, tmp_path):
+    for write in (tables.write_csv, tables.write_parquet):
+        path = str(tmp_path / write.__name__)
+        write(spark.range(5), path)
+        with pytest.raises(PySparkException):
+            write(spark.range(5).withColumn("x", F.raise_error(F.lit("no"))), path)
+        assert len(list(tmp_path.glob(f"{write.__name__}*"))) == 1
+        write(spark.range(3), path)
+        assert spark.read.format(write.__name__.removeprefix("write_")).load(path).count() >= 3
+
+
+def test_sorted_files_let_readers_skip_row_groups(spark, tmp_path):
+    number = F.lpad((F.col("id") * 7919 % 1000).cast("string"), 3, "0")
+    codes = spark.range(40_000).select(F.concat(F.lit("F"), number, F.md5(F.col("id").cast("string"))).alias("diag_code"), F.lit("SP").alias("state"))
+
+    def groups(sort_by):
+        path = str(tmp_path / f"s{len(sort_by)}")
+        blocked = spark.sparkContext._jsc.hadoopConfiguration()
+        blocked.set("parquet.block.size", "20000")
+        blocked.set("parquet.page.size", "4000")
+        try:
+            tables.write_parquet(codes, path, ["state"], sort_by)
+        finally:
+            blocked.unset("parquet.block.size")
+            blocked.unset("parquet.page.size")
+        stats = []
+        for file in Path(path).rglob("*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            stats += [meta.row_group(i).column(0).statistics for i in range(meta.num_row_groups)]
+        assert spark.read.parquet(path).where(F.col("diag_code").startswith("F12")).count() == 400
+        return len(stats), sum(s.min <= "F13" and s.max >= "F12" for s in stats)
+
+    every, read = groups(())
+    sorted_every, sorted_read = groups(("diag_code",))
+    assert read == every > 2 and sorted_every > 2
+    assert sorted_read <= max(2, sorted_every // 3)
+
+
+def test_a_ledger_is_asked_before_the_files(spark, landed, monkeypatch):
+    ledger, looked, look = landed + "-ledger", [], landing._merged_columns
+    monkeypatch.setattr(landing, "_merged_columns", lambda *args: looked.append([d for d, _ in args[1]]) or look(*args))
+    first = landing.read_admissions(spark, landed, ledger=ledger)
+    again = landing.read_admissions(spark, landed, ledger=ledger)
+    assert [len(d) for d in looked] == [3]
+    assert sorted(map(tuple, first.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    rows = spark.read.parquet(ledger)
+    assert rows.count() == 3 and rows.select("directory").distinct().count() == 3
+    write_month(spark, landed, "SP", 2024, 2, [("F01", "9"), ("F02", "8")])
+    write_month(spark, landed, "SP", 2024, 3, [("F03", 3)], "DIAG_PRINC string, MUNIC_RES int")
+    more = landing.read_admissions(spark, landed, ledger=ledger)
+    assert sorted(d[-7:] for d in looked[1]) == ["month=2", "month=3"]
+    assert sorted((r["month"], r["DIAG_PRINC"], r["MUNIC_RES"]) for r in more.where("state = 'SP'").collect()) == [
+        (1, "F00", "1"), (1, "G30", "2"), (2, "F01", "9"), (2, "F02", "8"), (3, "F03", "3"),
+    ]
+    assert spark.read.parquet(ledger).count() == 5
+    assert sorted(map(str, landing.read_admissions(spark, landed).collect())) == sorted(map(str, more.collect()))
+
+
+def test_many_directories_take_a_few_jobs(spark, tmp_path):
+    """Twelve months of one type, twelve of another: jobs grow with the changes of type, not with directories."""
+    root = tmp_path / "l"
+    for m in range(24):
+        path = root / "state=SP" / f"year={2023 + m // 12}" / f"month={m % 12 + 1}"
+        path.mkdir(parents=True)
+        column = pa.array([m], pa.int64()) if m < 12 else pa.array([str(m)])
+        extra = {"CNES": ["c"]} if m % 2 else {}
+        pq.write_table(pa.table({"DIAG_PRINC": [f"F{m:02}"], "IDADE": column, **extra}), path / "a.parquet")
+    df, started = jobs_of(spark, lambda: landing.read_admissions(spark, str(root)))
+    assert started <= 8
+    assert sorted((r["DIAG_PRINC"], r["IDADE"], r["CNES"]) for r in df.collect()) == [(f"F{m:02}", str(m), "c" if m % 2 else None) for m in range(24)]
+    assert len(landing._kinds(spark, str(root), {}, "parquet", None)) == 2
+
+
+def test_compressed_csv_headers(spark, tmp_path):
+    path = tmp_path / "state=SP" / "year=2024" / "month=1"
+    path.mkdir(parents=True)
+    with gzip.open(path / "a.csv.gz", "wt") as out:
+        out.write('IDADE,"DIAG_PRINC"\n81,F00\n')
+    (tmp_path / "state=SP" / "year=2024" / "month=2").mkdir()
+    (tmp_path / "state=SP" / "year=2024" / "month=2" / "a.csv").write_text("﻿DIAG_PRINC\nF01\n")
+    got = landing.read_admissions(spark, str(tmp_path), file_format="csv", ledger=str(tmp_path / "_ledger")).collect()
+    assert sorted((r["DIAG_PRINC"], r["IDADE"], r["month"]) for r in got) == [("F00", "81", 1), ("F01", None, 2)]

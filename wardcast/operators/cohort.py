@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions import code_group, exact_ratio, in_region, starts_with_any
 from wardcast.sources.landing import inline_table
-from wardcast.sources.tables import check_key
+from wardcast.sources.tables import asserted_unique
 from wardcast.spec import CohortSpec
 
 PRINCIPAL = "DIAG_PRINC"
@@ -76,7 +76,7 @@ def label_distribution(
         rows = [(i, code, label) for i, (code, label) in enumerate(spec.labels.items(), start=1)]
         labels = inline_table(cohort.sparkSession, rows, "ord int, diag_group string, diag_label string")
     else:
-        labels = check_key(labels.select("ord", "diag_group", "diag_label"), ["diag_group"])
+        labels = asserted_unique(labels.select("ord", "diag_group", "diag_label"), ["diag_group"])
     counts = cohort.groupBy(group.alias("diag_group")).agg(F.count(F.lit(1)).alias("admissions"))
     return (
         labels.join(counts, "diag_group", "left")

@@ -18,7 +18,7 @@ from wardcast.functions import (
     right_closed_band,
 )
 from wardcast.schemas import CLEAN, RAW_TO_CLEAN
-from wardcast.sources.tables import check_key
+from wardcast.sources.tables import asserted_unique
 from wardcast.spec import CohortSpec
 
 
@@ -71,14 +71,14 @@ READERS = {
 
 
 def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Add a label from a dimension table; NULL where it has none. A key that the dimension repeats raises, as it
-    would multiply rows.
+    """Add a label from a dimension table; NULL where it has none. A key that the dimension repeats fails the job,
+    as it would multiply rows.
 
     There is no broadcast hint: Spark broadcasts
     the dimension if it is small, and splits hot keys of a shuffled join at run time. Count before
     labelling where the label is only shown with totals.
     """
-    return df.join(check_key(labels.select(key, label), [key]), key, "left")
+    return df.join(asserted_unique(labels.select(key, label), [key]), key, "left")
 
 
 def rename_fields(df: DataFrame) -> DataFrame:

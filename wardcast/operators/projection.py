@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.functions import compound, exact_ratio, half_even
-from wardcast.sources.tables import check_key
+from wardcast.sources.tables import asserted_unique
 from wardcast.spec import ProjectionSpec
 
 
@@ -163,7 +163,7 @@ def endpoint_growth(
 
 
 def _attach(df: DataFrame, values: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """Add one column from a table with a row per key, which is checked; without keys the table is a single value."""
+    """Add one column from a table with a row per key, which the plan asserts; without keys the table is a single value."""
     if keys:
-        return df.join(check_key(values.select(*keys, name), keys), list(keys), "left")
+        return df.join(asserted_unique(values.select(*keys, name), keys), list(keys), "left")
     return df.withColumn(name, values.select(name).scalar())

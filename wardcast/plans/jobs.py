@@ -23,7 +23,7 @@ from wardcast.operators.projection import interpolate_series, project_costs
 from wardcast.operators.secondary import secondary_profile
 from wardcast.operators.territory import facility_totals, territory_table
 from wardcast.plans.dashboard import projection_series, secondary_ranking
-from wardcast.schemas import COHORT, COHORT_PARTITIONS, COMORBIDITY, INDICATORS, TABLES, TERRITORY, projection_table
+from wardcast.schemas import COHORT, COHORT_ORDER, COHORT_PARTITIONS, COMORBIDITY, INDICATORS, TABLES, TERRITORY, projection_table
 from wardcast.sources import landing, tables
 from wardcast.spec import CohortSpec, ProjectionSpec, TerritorySpec
 
@@ -47,7 +47,7 @@ def build_cohort(raw: DataFrame, out: str, spec: CohortSpec, *, secondary: bool
     The code and region tests come first, so only cohort rows are parsed and shuffled to the writers.
     """
     clean = enrich(select_cohort(raw, spec, secondary=secondary), spec, carry=COHORT_PARTITIONS)
-    tables.write_parquet(clean, out, COHORT_PARTITIONS)
+    tables.write_parquet(clean, out, COHORT_PARTITIONS, COHORT_ORDER)
     return read_cohort(raw.sparkSession, out)
 
 
@@ -78,7 +78,7 @@ def build_projection(
     With a cohort (which then has the keys as columns) the rate and the cost per admission are those
     observed at the base year; where nothing was observed the spec's apply.
     """
-    tables.check_key(anchors, [*keys, "year"])
+    anchors = tables.asserted_unique(anchors, [*keys, "year"])
     rates = base_values = None
     if cohort is not None:
         observed = observed_rate(cohort, interpolate_series(anchors, keys), keys, with_value=True)

@@ -65,6 +65,8 @@ CLEAN = T.StructType(
 
 # A clean admission is stored by the landing file that it came from, whatever dates the row carries.
 COHORT_PARTITIONS = ("state", "file_year", "file_month")
+# Cohorts are read by code prefix.
+COHORT_ORDER = ("diag_code",)
 COHORT = T.StructType(
     [
         *CLEAN.fields,
@@ -118,10 +120,18 @@ ANCHORS = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("p
 
 
 class TableDef:
-    """A persisted table: schema, description and the columns that must be unique."""
-
-    def __init__(self, schema: T.StructType, comment: str, key: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()):
+    """A persisted table: schema, description, the columns that must be unique, and how its files are split and sorted."""
+
+    def __init__(
+        self,
+        schema: T.StructType,
+        comment: str,
+        key: tuple[str, ...] = (),
+        partition_by: tuple[str, ...] = (),
+        sort_by: tuple[str, ...] = (),
+    ):
         self.schema = schema
+        self.sort_by = sort_by
         self.comment = comment
         self.key = key
         self.partition_by = partition_by
@@ -134,7 +144,7 @@ def projection_table(keys: Sequence[str] = ()) -> TableDef:
 
 
 TABLES = {
-    "admissions": TableDef(COHORT, "Clean rows of the cohort, by the landing file they came from.", partition_by=COHORT_PARTITIONS),
+    "admissions": TableDef(COHORT, "Clean rows of the cohort, by the landing file they came from.", partition_by=COHORT_PARTITIONS, sort_by=COHORT_ORDER),
     "indicators": TableDef(INDICATORS, "Counts and means of the cohort for each billing year.", key=("year",)),
     "projection": projection_table(),
     "territory": TableDef(TERRITORY, "Regions with their score, its level and their projected growth.", key=("region",)),
