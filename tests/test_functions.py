@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from decimal import Decimal
 
 import numpy as np
@@ -155,3 +156,31 @@ def test_specs_check_their_parameters():
     assert len(CohortSpec(prefixes=("F00",), labels={str(i): "x" for i in range(1000)}).labels) == 1000
     with pytest.raises(ValueError):
         ProjectionSpec(rate=1, base_year=1, end_year=2, base_value=1, scenarios={"x": 0.0})
+
+
+def test_many_prefixes_are_looked_up(spark, monkeypatch):
+    from wardcast.functions import text
+
+    prefixes = [f"{a}{i:02}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in range(100)] + [f"z{i:05}x" for i in range(2400)] + ["A001", "é9", "Q1r2"]
+    codes = ["A00", "a001", "A0", "b99x", " A00", "", None, "Z00000x", "z00001X9", "z99999", "É9z", "é9", "q1R2", "q1r", "5", "ZZ"]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    start = time.perf_counter()
+    got = [r[0] for r in df.select(text.starts_with_any(F.col("code"), prefixes)).collect()]
+    assert time.perf_counter() - start < 20
+    assert got == [None if c is None else c.upper().startswith(tuple(p.upper() for p in prefixes)) for c in codes]
+    few = [prefixes[0], "b99", "z00001x", "é9", "q1r2", "5"]
+    both = []
+    for limit in (0, 100):
+        monkeypatch.setattr(text, "SPELLED_PREFIXES", limit)
+        both.append([r[0] for r in df.select(text.starts_with_any(F.col("code"), few)).collect()])
+    assert both[0] == both[1] and any(both[0])
+
+
+def test_the_first_characters_of_many_prefixes_reach_the_reader(spark, tmp_path):
+    from wardcast.functions import starts_with_any
+
+    spark.createDataFrame([("F00",), ("X99",)], "code string").write.parquet(str(tmp_path / "p"))
+    kept = spark.read.parquet(str(tmp_path / "p")).where(starts_with_any(F.col("code"), [f"F{i:04}" for i in range(5000)] + ["F00"]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(code,F)" in plan and "StringStartsWith(code,f)" in plan
+    assert [r[0] for r in kept.collect()] == ["F00"]

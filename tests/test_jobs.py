@@ -49,7 +49,7 @@ def test_jobs_end_to_end(spark, root, capsys):
     job(spark, "history", "--cohort", root / "cohort", "--out", root / "history")
     assert "no cohort yet" in capsys.readouterr().out
 
-    select = ["--landing", root / "landing", "--cohort", root / "cohort", "--whole-state"]
+    select = ["--landing", root / "landing", "--cohort", root / "cohort", "--whole-state", "--ledger", root / "ledger"]
     for _ in range(2):
         job(spark, "cohort", *select)
     assert jobs.read_cohort(spark, str(root / "cohort")).count() == 4
@@ -60,6 +60,14 @@ def test_jobs_end_to_end(spark, root, capsys):
 
     job(spark, "history", "--cohort", root / "cohort", "--out", root / "history")
     assert "2 years" in capsys.readouterr().out
+    read = spark.read.option("header", True).csv
+    wanted = sorted(map(str, read(str(root / "history")).collect()))
+    # A month's states, written over themselves, merge into the same history.
+    for again in ([], ["--states", "SP", "--years", 2024, "--months", 1]):
+        job(spark, "states", "--cohort", root / "cohort", "--out", root / "states", *again)
+        job(spark, "history", "--cohort", root / "none", "--from-states", root / "states", "--out", root / "merged")
+        assert "2 years" in capsys.readouterr().out
+        assert sorted(map(str, read(str(root / "merged")).collect())) == wanted
     job(spark, "projection", "--out", root / "projection")
     job(spark, "projection", "--out", root / "by_state", "--anchors", root / "anchors.csv")
     job(spark, "rankings", *select, "--projection", root / "by_state", "--names", root / "names.csv",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pytest
 
@@ -141,3 +142,18 @@ def executed(text):
         if skip is None:
             kept.append(line)
     return "\n".join(kept)
+
+
+#: Queries that write, and one that looks whether there are rows.
+WITH_JOBS = {"landing_scan", "loaded_increments", "described_columns", "csv_round_trip", "csv_unreadable", "grouped_from_states", "history_from_states", "guarded_reads"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITH_JOBS))
+def test_building_a_query_starts_no_job(spark, sf_dir, name):
+    group = f"building-{name}-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        QUERIES[name](spark, sf_dir)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []

@@ -1,0 +1,77 @@
+"""Indicators from states per landing file against the same indicators from the rows."""
+
+from __future__ import annotations
+
+import random
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from wardcast.operators import indicators, states
+from wardcast.schemas import COHORT
+
+FIELDS = ["diag_code", "diag_group", "diag_label", "year", "stay_days", "total_value", "age_band", "death", "state", "file_year", "file_month"]
+
+
+def month(spark, seed, state, year, number, rows=200):
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice([None, *values])
+    out = []
+    for _ in range(rows):
+        code = some("F00", "F01", "G30")
+        value = some(Decimal(rng.randrange(10**9)) / 100, Decimal("0.01"), Decimal("-3.33"))
+        out.append((code, code, some("a", "b"), some(year, year - 1), some(1, 2, 9), value, some("60-69", "85+"), some(0, 1), state, year, number))
+    kinds = ", ".join(f"{n} {COHORT[n].dataType.simpleString()}" for n in FIELDS)
+    return spark.createDataFrame(out, kinds)
+
+
+def as_rows(df):
+    return df.columns, [f.dataType for f in df.schema.fields], sorted(map(str, df.collect()))
+
+
+def same(spark, place, rows):
+    kept = states.read_states(spark, place)
+    assert as_rows(states.merged_admissions(kept)) == as_rows(indicators.grouped_admissions(rows))
+    assert as_rows(states.merged_history(kept)) == as_rows(indicators.yearly_history(rows))
+    by_label = indicators.admissions_by_label(states.merged_admissions(kept))
+    assert as_rows(by_label) == as_rows(indicators.admissions_by_label(indicators.grouped_admissions(rows)))
+
+
+def test_increments_and_a_replaced_month(spark, tmp_path):
+    place = str(tmp_path / "states")
+    files = {(s, y, m): month(spark, i, s, y, m) for i, (s, y, m) in enumerate([("SP", 2023, 1), ("SP", 2023, 2), ("RJ", 2024, 1)])}
+
+    def every():
+        out = None
+        for df in files.values():
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    states.write_states(states.admission_states(every()), place)
+    same(spark, place, every())
+    files["SP", 2024, 1] = month(spark, 7, "SP", 2024, 1)
+    states.write_states(states.admission_states(files["SP", 2024, 1]), place)
+    same(spark, place, every())
+    files["SP", 2023, 2] = month(spark, 8, "SP", 2023, 2, rows=30)
+    for _ in range(2):
+        states.write_states(states.admission_states(files["SP", 2023, 2]), place)
+    same(spark, place, every())
+    files["RJ", 2024, 1] = month(spark, 0, "RJ", 2024, 1, rows=0)
+    states.write_states(states.admission_states(files["RJ", 2024, 1]), place, emptied=[{"state": "RJ", "file_year": 2024, "file_month": 1}])
+    same(spark, place, every())
+
+
+def test_absent_measures_and_keys(spark, tmp_path):
+    rows = month(spark, 3, "SP", 2024, 1).drop("total_value", "death")
+    place = str(tmp_path / "s")
+    states.write_states(states.admission_states(rows), place)
+    got = states.merged_history(states.read_states(spark, place))
+    assert as_rows(got) == as_rows(indicators.yearly_history(rows))
+    assert got.where("mean_value IS NOT NULL").isEmpty()
+
+
+def test_a_state_is_as_large_as_its_groups(spark):
+    rows = month(spark, 1, "SP", 2024, 1, rows=5000)
+    kept = states.admission_states(rows)
+    assert kept.count() == rows.select(*indicators.VIEW_KEYS).distinct().count()
+    assert kept.agg(F.sum("admissions")).first()[0] == 5000

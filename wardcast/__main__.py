@@ -35,13 +35,17 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--states", nargs="*", default=[])
         sub.add_argument("--years", nargs="*", type=int, default=[])
         sub.add_argument("--months", nargs="*", type=int, default=[])
+        sub.add_argument("--ledger", help="table of what is known of the landing files' columns; made if it is not there")
         sub.add_argument("--whole-state", action="store_true", help="do not restrict to the preset's city")
         if name == "cohort":
             sub.add_argument("--secondary", action="store_true", help="keep rows where either diagnosis matches")
         else:
             for path in ("projection", "names", "territory", "comorbidity"):
                 sub.add_argument(f"--{path}", required=True)
-    job("history", "cohort", "out")
+    states = job("states", "cohort", "out")
+    for name, kind in (("states", str), ("years", int), ("months", int)):
+        states.add_argument(f"--{name}", nargs="*", type=kind, default=[], help="of the landing files; default: all")
+    job("history", "cohort", "out").add_argument("--from-states", help="merge these states instead of reading the cohort")
     projection = job("projection", "out")
     projection.add_argument("--anchors", help="CSV of region, year, pop_millions; default: national")
     projection.add_argument("--cohort", help="take rate and cost per admission from this cohort's base year")
@@ -52,11 +56,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    read = {"cohort": ["landing"], "rankings": ["landing", "cohort"], "history": ["cohort"], "projection": ["cohort"], "load": ["cohort"]}
+    read = {"cohort": ["landing"], "rankings": ["landing", "cohort"], "history": ["cohort"], "states": ["cohort"], "projection": ["cohort"], "load": ["cohort"]}
     paths = [getattr(args, name) for name in read.get(args.job, []) if getattr(args, name)]
     sized(spark, *paths, input_bytes=args.input_gb * GB if args.input_gb else None)
     if args.job in ("cohort", "rankings"):
-        raw = jobs.read_landing(spark, args.landing, args.states, args.years, args.months, args.format)
+        raw = jobs.read_landing(spark, args.landing, args.states, args.years, args.months, args.format, args.ledger)
         spec = DEMENTIA_COHORT
         if args.whole_state:
             spec = type(spec)(**{**spec.__dict__, "region": None})
@@ -64,8 +68,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         written = jobs.build_cohort(raw, args.cohort, spec, secondary=args.secondary)
         for report in jobs.cohort_report(raw, written, spec, secondary=args.secondary):
             report.show(truncate=False)
+    elif args.job == "states":
+        jobs.build_states(spark, args.cohort, args.out, args.states, args.years, args.months)
     elif args.job == "history":
-        history = jobs.build_history(spark, args.cohort, args.out)
+        history = jobs.build_history(spark, args.cohort, args.out, args.from_states)
         print("no cohort yet; nothing written" if history is None else f"{history.count()} years")
     elif args.job == "projection":
         if args.anchors:

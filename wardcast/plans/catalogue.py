@@ -6,6 +6,7 @@ another engine's regardless of its decimal widths.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardcast.functions import code_group, parse_decimal, parse_int, parse_whole
-from wardcast.operators import cohort, enrich, indicators, projection, secondary, territory
+from wardcast.operators import cohort, enrich, indicators, projection, secondary, states, territory
 from wardcast.plans import dashboard
-from wardcast.schemas import CLEAN, projection_table
-from wardcast.sources import landing, star, tables
+from wardcast.schemas import CLEAN, COHORT, COHORT_PARTITIONS, INDICATORS, TABLES, TableDef, projection_table
+from wardcast.sources import landing, star, storage, tables
 from wardcast.sources.star import (
     DESCRIPTIONS,
     STAR_CITY_COHORT,
@@ -460,3 +461,131 @@ def dashboard_json(spark, sf_dir):
             "labels": by_label,
         }
     )
+
+
+# --- written and read again ---------------------------------------------------------------------
+
+
+def _settled(df: DataFrame, name: str, *places: str) -> DataFrame:
+    """A small result, written; what it was read from goes."""
+    out = storage.scratch(df.sparkSession, name)
+    df.write.parquet(out)
+    for place in places:
+        storage.remove(df.sparkSession, place)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def _landed_clean(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+    """Clean rows with the landing file that they stand for: a region's half-year."""
+    clean = _clean(spark, sf_dir, [*fields, "ANO_CMPT", "MES_CMPT"], carry=("region",))
+    file = {"state": F.col("region").cast("string"), "file_year": F.col("year"), "file_month": F.when(F.col("month") <= 6, 1).otherwise(7)}
+    return clean.withColumns(file).drop("region")
+
+
+@query
+def landing_scan(spark, sf_dir):
+    """Landing files by region and year, the early ones without deaths and with amounts as text, read through a ledger."""
+    root = storage.scratch(spark, "landing")
+    fields = ["DIAG_PRINC", "VAL_TOT", "MORTE", "ANO_CMPT", "MES_CMPT", "region"]
+    raw = star.admissions(spark, sf_dir, fields).withColumnsRenamed({"region": "state"}).withColumns(
+        {"year": F.col("ANO_CMPT"), "month": F.when(F.col("MES_CMPT") <= 6, 1).otherwise(7)}
+    )
+    early = F.coalesce(F.col("year") < 1998, F.lit(False))
+    kinds = (
+        raw.where(early).withColumn("VAL_TOT", F.col("VAL_TOT").cast("string")).drop("MORTE"),
+        raw.where(~early).withColumn("NEW_FIELD", F.lit(1)),
+    )
+    scans = []
+    for rows in kinds:
+        dealt = rows.repartition("state", "year", "month")
+        dealt.write.mode("append").partitionBy("state", "year", "month").parquet(f"{root}/files")
+        scans.append(landing.read_admissions(spark, f"{root}/files", ledger=f"{root}/ledger"))
+    found = scans[-1].groupBy(F.col("state").cast("int").alias("region"), "year", "month").agg(
+        F.count(F.lit(1)).alias("admissions"),
+        F.count("DIAG_PRINC").alias("coded"),
+        F.sum(parse_decimal(F.col("VAL_TOT"), T.StringType())).alias("total_cost"),
+        F.sum(F.col("MORTE").cast("int")).alias("deaths"),
+    )
+    return _settled(found, "landing_scan", root)
+
+
+@query
+def loaded_increments(spark, sf_dir):
+    """Two increments and one of them again, in the typed table of admissions: rows as after one load of all."""
+    names = ["diag_group", "diag_label", "year", "month", "stay_days", "total_value", "age_band", "death", *COHORT_PARTITIONS]
+    table = TableDef(T.StructType([COHORT[n] for n in names]), "Admissions of the checks.", partition_by=COHORT_PARTITIONS, sort_by=("diag_group",))
+    clean = _landed_clean(spark, sf_dir, ["DIAG_PRINC", "IDADE", "DIAS_PERM", "VAL_TOT", "MORTE"])
+    early = F.coalesce(F.col("year") < 1998, F.lit(False))
+    name = f"loaded_{uuid.uuid4().hex}"
+    loaded = [tables.load_table(clean.where(part), name, table) for part in (early, ~early, early)]
+    found = spark.table(name).groupBy("file_year", "diag_group").agg(
+        F.count(F.lit(1)).alias("admissions"), F.sum("total_value").alias("total_cost"), F.sum("stay_days").alias("stay_days")
+    )
+    counted = F.when(F.coalesce(F.col("file_year") < 1998, F.lit(False)), F.lit(loaded[2])).otherwise(F.lit(loaded[1]))
+    out = _settled(found.withColumn("loaded", counted.cast("long")), "loaded_increments")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query
+def described_columns(spark, sf_dir):
+    """A table loaded without comments and again with them: the catalog's comments and the known values of each column."""
+    history = indicators.yearly_history(_clean(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "DIAS_PERM", "VAL_TOT"]))
+    bare = TableDef(T.StructType([T.StructField(f.name, f.dataType) for f in INDICATORS.fields]), "No comments yet.", key=("year",))
+    name = f"described_{uuid.uuid4().hex}"
+    for table in (bare, TABLES["indicators"]):
+        tables.load_table(history, name, table)
+    rows = spark.table(name)
+    counts = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("known")) for c in rows.columns])
+    known = rows.agg(counts.alias("counts")).select(F.inline("counts"))
+    out = _settled(tables.descriptions(spark, name).join(known, "column"), "described_columns")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """The yearly history of each region, written as CSV and read by name."""
+    clean = _clean(spark, sf_dir, ["DIAG_PRINC", "ANO_CMPT", "DIAS_PERM", "VAL_TOT"], carry=("region",))
+    schema = T.StructType([T.StructField("region", T.IntegerType()), *INDICATORS.fields])
+    place = storage.scratch(spark, "csv")
+    tables.write_csv(indicators.yearly_history(clean, REGION), place)
+    return tables.read_csv(spark, place, schema)
+
+
+@query
+def csv_unreadable(spark, sf_dir):
+    """Parts written with their name for a size in every seventh: the rows that cannot be read are counted."""
+    part = star.table(spark, sf_dir, "part")
+    size = F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
+    place = storage.scratch(spark, "csv")
+    tables.write_csv(part.select("p_partkey", size.alias("p_size")), place)
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.IntegerType())])
+    rows = tables.read_csv(spark, place, schema, keep_unreadable=True)
+    found = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(tables.UNREADABLE).alias("unreadable_rows"),
+        F.sum("p_size").alias("sizes"),
+        F.min(tables.UNREADABLE).alias("example"),
+    )
+    return _settled(found, "csv_unreadable", place)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of all landing files, the later ones first written with every row twice and then replaced."""
+    clean = _landed_clean(spark, sf_dir, ["DIAG_PRINC", "IDADE", "DIAS_PERM", "VAL_TOT", "MORTE"])
+    early = F.coalesce(F.col("year") < 1998, F.lit(False))
+    place = storage.scratch(spark, "states")
+    for rows in (clean.where(early), clean.where(~early).unionByName(clean.where(~early)), clean.where(~early)):
+        states.write_states(states.admission_states(rows), place)
+    return states.read_states(spark, place)
+
+
+@query
+def grouped_from_states(spark, sf_dir):
+    return states.merged_admissions(_states(spark, sf_dir))
+
+
+@query
+def history_from_states(spark, sf_dir):
+    return states.merged_history(_states(spark, sf_dir))

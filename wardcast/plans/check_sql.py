@@ -394,4 +394,35 @@ CHECK_SQL: dict[str, str] = {
     || coalesce('"' || description || '"', 'null') || ',"admissions":' || admissions || '}}' FROM profile
   UNION ALL SELECT 'labels', '{{"diag_label":' || coalesce('"' || diag_label || '"', 'null')
     || ',"total":' || total || '}}' FROM by_label""",
+    "landing_scan": f"""WITH {RAW}
+  SELECT region, CAST(ANO_CMPT AS INTEGER) AS year, CASE WHEN CAST(MES_CMPT AS INTEGER) <= 6 THEN 1 ELSE 7 END AS month,
+    count(*) AS admissions, count(DIAG_PRINC) AS coded, CAST(sum(CAST(VAL_TOT AS DECIMAL(15,2))) AS DOUBLE) AS total_cost,
+    CAST(sum(CASE WHEN CAST(ANO_CMPT AS INTEGER) < 1998 THEN NULL ELSE CAST(MORTE AS INTEGER) END) AS BIGINT) AS deaths
+  FROM raw GROUP BY 1, 2, 3""",
+    "loaded_increments": f"""WITH {CLEAN}
+  SELECT year AS file_year, diag_group, count(*) AS admissions, {TOTAL_COST} AS total_cost, CAST(sum(stay_days) AS BIGINT) AS stay_days,
+    CASE WHEN year < 1998 THEN (SELECT count(*) FILTER (WHERE year < 1998) FROM clean)
+      ELSE (SELECT count(*) FILTER (WHERE year IS NULL OR year >= 1998) FROM clean) END AS loaded
+  FROM clean GROUP BY year, diag_group""",
+    "described_columns": f"""WITH {CLEAN},
+  history AS (
+    SELECT year, count(diag_code) AS admissions, {MEAN_VALUE} AS mean_value, {MEAN_STAY_2} AS mean_stay
+    FROM clean WHERE year IS NOT NULL GROUP BY year
+  )
+  SELECT 'year' AS column, 'int' AS type, 'Year.' AS comment, count(year) AS known FROM history
+  UNION ALL SELECT 'admissions', 'bigint', 'Rows with a principal diagnosis.', count(admissions) FROM history
+  UNION ALL SELECT 'mean_value', 'decimal(15,2)', 'Sum of total_value over the rows that have one.', count(mean_value) FROM history
+  UNION ALL SELECT 'mean_stay', 'decimal(8,2)', 'Sum of stay_days over the rows that have one.', count(mean_stay) FROM history""",
+    "csv_round_trip": f"""WITH {CLEAN}
+  SELECT region, year, count(diag_code) AS admissions, {MEAN_VALUE} AS mean_value, {MEAN_STAY_2} AS mean_stay
+  FROM clean WHERE year IS NOT NULL GROUP BY region, year""",
+    "csv_unreadable": """
+  SELECT count(*) AS rows, count(*) FILTER (WHERE p_partkey % 7 = 0 AND p_brand IS NOT NULL) AS unreadable_rows,
+    CAST(sum(p_size) FILTER (WHERE p_partkey % 7 <> 0) AS BIGINT) AS sizes,
+    min(p_partkey || ',' || p_brand) FILTER (WHERE p_partkey % 7 = 0) AS example
+  FROM part""",
+    "grouped_from_states": f"WITH {CLEAN} {GROUPED}",
+    "history_from_states": f"""WITH {CLEAN}
+  SELECT year, count(diag_code) AS admissions, {MEAN_VALUE} AS mean_value, {MEAN_STAY_2} AS mean_stay
+  FROM clean WHERE year IS NOT NULL GROUP BY year""",
 }

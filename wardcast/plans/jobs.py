@@ -21,6 +21,7 @@ from wardcast.operators.indicators import (
 )
 from wardcast.operators.projection import interpolate_series, project_costs
 from wardcast.operators.secondary import secondary_profile
+from wardcast.operators.states import admission_states, merged_history, read_states, write_states
 from wardcast.operators.territory import facility_totals, territory_table
 from wardcast.plans.dashboard import projection_series, secondary_ranking
 from wardcast.schemas import COHORT, COHORT_ORDER, COHORT_PARTITIONS, COMORBIDITY, INDICATORS, TABLES, TERRITORY, projection_table
@@ -34,8 +35,9 @@ def read_landing(
     years: Sequence[int] = (),
     months: Sequence[int] = (),
     file_format: str = "parquet",
+    ledger: str | None = None,
 ) -> DataFrame:
-    raw = landing.read_admissions(spark, path, states=states, years=years, months=months, file_format=file_format)
+    raw = landing.read_admissions(spark, path, states=states, years=years, months=months, file_format=file_format, ledger=ledger)
     return landing.require_rows(raw, f"landing selection in {path}").withColumnsRenamed(
         {"year": "file_year", "month": "file_month"}
     )
@@ -61,12 +63,29 @@ def cohort_report(raw: DataFrame, written: DataFrame, spec: CohortSpec, *, secon
     return cohort_retention(raw, spec, secondary=secondary), label_distribution(written, spec, F.col("diag_group"))
 
 
-def build_history(spark: SparkSession, cohort_path: str, out: str) -> DataFrame | None:
-    """Yearly indicators of the written cohort, or None if it has not been built."""
-    clean = landing.read_optional(spark, cohort_path, COHORT)
-    if clean is None:
-        return None
-    tables.write_csv(tables.conform(yearly_history(clean), INDICATORS), out)
+def build_states(
+    spark: SparkSession, cohort_path: str, out: str, states: Sequence[str] = (), years: Sequence[int] = (), months: Sequence[int] = ()
+) -> DataFrame:
+    """The partial states of the cohort's landing files, all or those of the selection, in place of their earlier ones."""
+    clean = read_cohort(spark, cohort_path)
+    for name, wanted in zip(COHORT_PARTITIONS, (states, years, months), strict=True):
+        if wanted:
+            clean = clean.where(F.col(name).isin(*wanted))
+    write_states(admission_states(clean), out)
+    return read_states(spark, out)
+
+
+def build_history(spark: SparkSession, cohort_path: str, out: str, states_path: str | None = None) -> DataFrame | None:
+    """Yearly indicators of the written cohort, or None if it has not been built. With the states of its landing files,
+    those are merged and the cohort is not read."""
+    if states_path:
+        history = merged_history(read_states(spark, states_path))
+    else:
+        clean = landing.read_optional(spark, cohort_path, COHORT)
+        if clean is None:
+            return None
+        history = yearly_history(clean)
+    tables.write_csv(tables.conform(history, INDICATORS), out)
     return tables.read_csv(spark, out, INDICATORS)
 
 
