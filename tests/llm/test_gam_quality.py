@@ -74,3 +74,23 @@ def test_few_labels(spark):
         scores = [r.score for r in gam.scored(rows, model).collect()]
         assert len(scores) == len(awkward()) and all(0 < s < 1 for s in scores)
     assert gam.scored(rows.limit(0), model).collect() == []
+
+
+def test_rows_to_learn_from(spark):
+    """The same model as from the features of all rows, also where ids repeat and more are labelled than may be used."""
+    docs = spark.createDataFrame([(i % 90 if i % 11 else None, f"text {i} " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(3, None), (None, 1), (5, 7)], "doc_id long, quality int")
+    for most in (20, 1000):
+        some = gam.to_learn_from(docs, labels, id="doc_id", label="quality", most=most)
+        assert some.where("doc_id IS NULL").isEmpty() and some.select("doc_id").distinct().count() == min(most, 90)
+        models = [gam.learned(gam.with_features(d, id="doc_id", text="text"), labels, id="doc_id", label="quality", most=most) for d in (docs, some)]
+        x = np.random.default_rng(1).random((50, len(gam.FEATURES)))
+        assert (models[0].score(x) == models[1].score(x)).all()
+
+
+def test_slices_follow_bytes(monkeypatch):
+    monkeypatch.setattr(gam, "SLICE_BYTES", 100)
+    texts = pa.array(["x" * n for n in (10, 80, 20, 500, 0, 0, 99, 1)] + [None] * 2000)
+    found = list(gam._slices(texts))
+    assert [low for low, _ in found] == np.cumsum([0, *[n for _, n in found]])[:-1].tolist() and sum(n for _, n in found) == len(texts)
+    assert all(n <= 1024 and (n == 1 or sum(len(x.as_py() or "") for x in texts.slice(low, n)) <= 100) for low, n in found)

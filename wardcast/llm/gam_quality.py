@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from wardcast.llm.words import sequences, utf8, window_starts, words
 
+#: Text that is worked on at once; its arrays take some tens of times as much.
+SLICE_BYTES = 1 << 20
 #: At most so many labelled rows, chosen by a hash of their id, reach the driver.
 FIT_ROWS = 40_000
 
@@ -262,13 +264,24 @@ def fitted(x: np.ndarray, y: np.ndarray, *, bins: int = 48, coarse_bins: int = 1
     return Model(base, edges, tables, coarse, chosen, squares)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of rows begin and how many rows each has: at most 1,024, and of about ``SLICE_BYTES`` or one row."""
+    ends = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low, n = 0, len(texts)
+    while low < n:
+        full = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, side="right"))
+        high = min(max(full, low + 1), low + 1024)
+        yield low, high - low
+        low = high
+
+
 def with_features(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     """(id, features) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                some = batch.slice(low, 1024)
+            for low, many in _slices(batch.column(1)):
+                some = batch.slice(low, many)
                 x = features(some.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists], names=[id, "features"])
@@ -277,6 +290,17 @@ def with_features(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     return docs.select(id, text).mapInArrow(each, f"`{id}` {kind}, features array<double>")
 
 
+def to_learn_from(docs: DataFrame, labels: DataFrame, *, id: str, label: str, most: int = FIT_ROWS) -> DataFrame:
+    """The rows that ``learned`` would take of all, so that features of no others need computing.
+
+    Ids are chosen before texts are read; rows that repeat a chosen id are all there, and ``learned`` takes as many as it may.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(id).alias("_id")).distinct()
+    there = docs.select(F.col(id).alias("_id")).distinct().join(known, "_id")
+    chosen = there.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return docs.join(F.broadcast(chosen), F.col(id) == F.col("_id"), "left_semi")
+
+
 def learned(rows: DataFrame, labels: DataFrame, *, id: str, label: str, most: int = FIT_ROWS) -> Model:
     """The model of the labelled rows: features by ``with_features``, and labels (id, label) of 0 or 1.
 
@@ -308,7 +332,7 @@ def text_score(model: Model, text: str) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [model.score(features(texts.slice(low, 1024))) for low in range(0, len(texts), 1024)]
+        parts = [model.score(features(texts.slice(low, many))) for low, many in _slices(texts)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.col(text))

@@ -64,7 +64,12 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(rows: DataFrame, labels: DataFrame) -> gam_quality.Model:
     """Learned from the labels outside the held-out fold."""
-    return gam_quality.learned(rows, labels.where(~_fold("doc_id", 4, 2)), id="doc_id", label="quality")
+    return gam_quality.learned(rows, training_labels(labels), id="doc_id", label="quality")
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels outside the held-out fold."""
+    return labels.where(~_fold("doc_id", 4, 2))
 
 
 def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
