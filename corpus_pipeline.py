@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardcast.llm import gam_quality, partenum_join, phrase_index, pivotal_mix, sampled_shards
-from wardcast.llm.queries import KEEP_SCORE, quality_model, table
+from wardcast.llm.queries import KEEP_SCORE, table, training_labels
 from wardcast.llm.storage import saved, written
 
 
@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty texts are judged like any other.
     """
-    rows = gam_quality.with_features(docs, id="doc_id", text="text")
-    model = quality_model(rows, table(spark, sf_dir, "labels"))
+    labels = training_labels(table(spark, sf_dir, "labels"))
+    rows = gam_quality.to_learn_from(docs, labels, id="doc_id", label="quality")
+    model = gam_quality.learned(gam_quality.with_features(rows, id="doc_id", text="text"), labels, id="doc_id", label="quality")
     return docs.where(gam_quality.text_score(model, "text") >= KEEP_SCORE)
 
 
