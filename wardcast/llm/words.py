@@ -1,7 +1,7 @@
 """Words of many texts at once, as 64-bit hashes in numpy arrays.
 
 A word is a run of bytes that are not white space (``[^\\x20\\x09-\\x0D]+``), optionally with A-Z
-lower-cased. Texts are taken whole; they are worked through in pieces of about one megabyte, cut
+lower-cased. Texts are taken whole; they are worked through in pieces of a quarter of a megabyte, cut
 between words, so memory does not depend on how long a single text is beyond its own arrays.
 
 A word's hash is a polynomial in a random odd base over random values of its bytes, modulo 2**64,
@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
