@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,24 @@ def test_recall_against_brute_force(spark, sf_dir, size):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.93 * len(want)
 
 
+def test_second_round_returns_only_what_reaches_the_bar():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(50, 4)), rng.normal(size=(2, 4))
+    own = pa.table({"bucket": np.zeros(50, np.int64), "v1": np.arange(50), "v2": np.arange(50), "low": np.arange(50), "vector": list(x)})
+    near = q @ x.T
+    bars = np.array([np.sort(near[0])[-3], -np.inf])
+    asked = pa.table({"bucket": np.zeros(2, np.int64), "q1": np.arange(2), "q2": np.arange(2), "bar": bars, "vector": list(q)})
+    (found,) = ann._best(own, asked, 4, 5)
+    got = {(r["q1"], r["low"]) for r in found.to_pylist()}
+    assert got == {(0, int(i)) for i in np.argsort(-near[0])[:3]} | {(1, int(i)) for i in np.argsort(-near[1])[:5]}
+
+
+def test_bar_is_the_kth_best_of_different_vectors(spark):
+    rows = [(1, 1, v, v, float(s)) for v, s in [(1, 9), (1, 9), (2, 8), (3, 7)]] + [(2, 2, 1, 1, 5.0)]
+    found = spark.createDataFrame(rows, "q1 long, q2 long, v1 long, v2 long, score double")
+    assert [tuple(r) for r in ann._bars(found, 2).collect()] == [(1, 1, 8.0)]
+
+
 def test_probes_are_in_order_of_the_distance_to_the_borders():
     tables = ann.Tables(5, 1, 3, 1.0, 27, 1)
     x = np.random.default_rng(5).normal(size=(1, 6))

@@ -6,7 +6,11 @@ inner product is a smaller distance. A table hashes a vector to the cells that i
 estimated chance of success: how far the query is from the borders that a perturbation crosses.
 
 Bucket holders and the queries that probe them meet in parts of the key space, where exact inner products
-rerank them; each part returns its best for each query, and those of all parts and tables are merged.
+rerank them, and those of all parts and tables are merged. This takes two rounds. The first visits the likeliest
+bucket of each table, a fixed number a query, and so gives every query a bar: its k-th best so far. In the second,
+which visits the others, a part returns only what reaches the bar. The first round sees a share of the vectors that
+does not depend on how many there are or into how many parts they fall, so neither does the number of rows returned
+for a query.
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold. A bucket with more
 vectors than ``BLOCK`` is split, and its probes go to all of its blocks. Queries for which the probes found fewer
 than k candidates are compared with all vectors, block by block.
@@ -74,10 +78,12 @@ def _unit(vectors: np.ndarray, longest: float | None) -> np.ndarray:
 
 
 def _best(own: pa.Table, asked: pa.Table, dimension: int, k: int) -> Iterator[pa.Table]:
-    """The k nearest of each query in one part, over all buckets that both sides name."""
+    """The k nearest of each query in one part that reach its bar, over all buckets that both sides name."""
     x, q = _matrix(own["vector"], dimension), _matrix(asked["vector"], dimension)
     buckets, low = own["bucket"].to_numpy(), own["low"].to_numpy()
-    probes = asked["bucket"].to_numpy()
+    probes, bars = asked["bucket"].to_numpy(), asked["bar"].to_numpy()
+    # Products by matrix and by pair differ by rounding: far less than this share of the norms.
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
     names, query = np.unique(np.stack((asked["q1"].to_numpy(), asked["q2"].to_numpy()), 1), axis=0, return_inverse=True)
     query = query.reshape(-1)
     by, probe_order = np.argsort(buckets, kind="stable"), np.argsort(probes, kind="stable")
@@ -90,12 +96,12 @@ def _best(own: pa.Table, asked: pa.Table, dimension: int, k: int) -> Iterator[pa
         for at in range(int(c), int(d), 512):
             some = probe_order[at : min(at + 512, int(d))]
             near = q[some] @ x[rows].T
+            bar = bars[some]
             if len(rows) > k:
-                bar = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k]
-                i, j = np.nonzero(near >= bar[:, None] - 1e-9)
-            else:
-                i, j = np.nonzero(np.ones(near.shape, bool))
-            pairs.append((some[i], rows[j]))
+                bar = np.maximum(bar, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+            i, j = np.nonzero(near >= (bar - slack[some])[:, None])
+            if len(i):
+                pairs.append((some[i], rows[j]))
     if not pairs:
         return
     i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
@@ -118,7 +124,7 @@ _FOUND = "q1 long, q2 long, v1 long, v2 long, low long, score double"
 
 
 def _met(index: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFrame:
-    """Index rows (part, bucket, v1, v2, low, vector) and probes (part, bucket, q1, q2, vector), by part."""
+    """Index rows (part, bucket, v1, v2, low, vector) and probes (part, bucket, q1, q2, bar, vector), by part."""
 
     def each(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = list(_best(own, asked, dimension, k)) if own.num_rows and asked.num_rows else []
@@ -130,6 +136,13 @@ def _met(index: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFra
 _TYPES = [(n, pa.int64()) for n in ("q1", "q2", "v1", "v2", "low")] + [("score", pa.float64())]
 
 
+def _bars(found: DataFrame, k: int) -> DataFrame:
+    """(q1, q2, bar): the k-th best score among the different vectors found, for queries with so many."""
+    different = found.groupBy("q1", "q2", "v1", "v2").agg(F.max("score").alias("score"))
+    ahead = Window.partitionBy("q1", "q2").orderBy(F.desc("score"))
+    return different.withColumn("place", F.row_number().over(ahead)).where(F.col("place") == k).select("q1", "q2", F.col("score").alias("bar"))
+
+
 def nearest(
     rows: DataFrame, queries: Column, *, id: str, vector: str, k: int = 20, tables: int = 6, projections: int = 6,
     width: float = 2.0, probes: int = 48, seed: int = 11,
@@ -169,36 +182,49 @@ def nearest(
                 bucket = hashed.buckets(np.floor(hashed.places(unit, t)), t)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                unit = _unit(_matrix(some.column("vector"), dimension), None)
-                for t in range(tables):
-                    bucket = hashed.probed(unit, t)
-                    at = pa.array(np.repeat(np.arange(some.num_rows), bucket.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.reshape(-1)), *(c.take(at) for c in some.columns)], names=["bucket", *some.schema.names]
-                    )
-
     kind = rows.schema[vector].dataType.simpleString()
+
+    def probing(asking: DataFrame, visits: slice) -> DataFrame:
+        """The buckets of those places in each query's order, in every table."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 256):
+                    some = batch.slice(low, 256)
+                    unit = _unit(_matrix(some.column("vector"), dimension), None)
+                    for t in range(tables):
+                        bucket = hashed.probed(unit, t)[:, visits]
+                        at = pa.array(np.repeat(np.arange(some.num_rows), bucket.shape[1]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(bucket.reshape(-1)), *(c.take(at) for c in some.columns)], names=["bucket", *some.schema.names]
+                        )
+
+        return asking.select("q1", "q2", "bar", "vector").mapInArrow(each, f"bucket long, q1 long, q2 long, bar double, vector {kind}")
+
     index = once.select("v1", "v2", "low", "vector").mapInArrow(indexed, f"bucket long, v1 long, v2 long, low long, vector {kind}")
-    probe = wanted.mapInArrow(probing, f"bucket long, q1 long, q2 long, vector {kind}")
     large = saved(index.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).where("blocks > 1"))
-    if large.isEmpty():
-        index, probe = (x.withColumn("block", F.lit(0)) for x in (index, probe))
-    else:
-        index = index.join(large, "bucket", "left").withColumn("block", F.pmod("v1", F.coalesce("blocks", F.lit(1))).cast("int"))
-        blocks = F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))
-        probe = probe.join(large, "bucket", "left").withColumn("block", F.explode(blocks))
+    split = not large.isEmpty()
     part = F.pmod(F.xxhash64("bucket", "block"), F.lit(n)).cast("int")
-    found = saved(_met(index.withColumn("part", part), probe.withColumn("part", part), dimension, k + 1))
+    held = F.pmod("v1", F.coalesce("blocks", F.lit(1))).cast("int") if split else F.lit(0)
+    index = (index.join(large, "bucket", "left") if split else index).withColumn("block", held).withColumn("part", part)
+    blocks = F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))
+
+    def visited(asking: DataFrame, visits: slice) -> DataFrame:
+        probe = probing(asking, visits)
+        probe = probe.join(large, "bucket", "left").withColumn("block", F.explode(blocks)) if split else probe.withColumn("block", F.lit(0))
+        return _met(index, probe.withColumn("part", part), dimension, k + 1)
+
+    wanted = wanted.withColumn("bar", F.lit(float("-inf")))
+    likeliest = saved(visited(wanted, slice(0, 1)))
+    bars = _bars(likeliest, k + 1)
+    raised = wanted.drop("bar").join(bars, ["q1", "q2"], "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    found = likeliest.unionByName(saved(visited(raised, slice(1, None))))
 
     counts = found.groupBy("q1", "q2").agg(F.count_distinct("v1", "v2").alias("many"))
     short = wanted.join(counts.where(F.col("many") > k), ["q1", "q2"], "left_anti")
-    blocks = max(-(-many // BLOCK), 1)
-    everywhere = short.withColumns({"bucket": F.lit(0), "part": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    spread = once.withColumns({"bucket": F.lit(0), "part": F.pmod("v1", F.lit(blocks)).cast("int")})
+    whole = max(-(-many // BLOCK), 1)
+    everywhere = short.withColumns({"bucket": F.lit(0), "part": F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))})
+    spread = once.withColumns({"bucket": F.lit(0), "part": F.pmod("v1", F.lit(whole)).cast("int")})
     found = found.unionByName(_met(spread, everywhere, dimension, k + 1))
 
     merged = found.groupBy("q1", "q2", "v1", "v2", "low").agg(F.max("score").alias("score"))
