@@ -115,3 +115,38 @@ def test_the_query_scores_held_out_text_better_than_bigrams(spark, sf_dir, monke
 
     full = queries.interpolated_lm.scores
     assert mean() > mean(order=2) + 0.01
+
+
+@pytest.mark.parametrize("n", [1, 3, 51, 4000])
+def test_requests_tell_which_keys_were_first_or_alone(n):
+    keys, _ = lm.X.distinct(lm.mix(np.arange(1, 2000, dtype=np.uint64)))
+    shared = keys[::3]
+    ones = [np.ones(len(x), np.int64) for x in (keys, shared)]
+    for kind, order in ((1, 3), (2, 3), (3, 3)):
+        asked = [next(lm._request(c, kind, k, [o * (300 + c), o * c], n, order)).to_pylist() for c, (k, o) in enumerate(zip((keys, shared), ones, strict=True))]
+        for b in {r["bucket"] for r in asked[0]}:
+            blobs = [r["keys"] for rows in asked for r in rows if r["bucket"] == b]
+            some, both = (x[lm.X.bucket_of(x, n) == b] for x in (keys, shared))
+            got = [lm.zstandard.decompress(x) for x in lm._totals(blobs)]
+            total, at = lm._unsqueeze(got[0], len(some), 0)
+            fold, at = lm._unsqueeze(got[0], len(some), at)
+            assert total.tolist() == np.where(np.isin(some, both), 601, 300).tolist()
+            assert fold.tolist() == np.isin(some, both).astype(int).tolist()
+            said = np.unpackbits(np.frombuffer(got[0], np.uint8, offset=at), count=len(some)) if kind < 3 else None
+            if kind == 1:
+                assert said.all()
+            elif kind == 2:
+                assert said.tolist() == (~np.isin(some, both)).tolist()
+            else:
+                assert at == len(got[0])
+
+
+def test_ngrams_around_one_that_no_other_chunk_has_are_not_asked_about():
+    tokens, bounds = np.array([1, 2, 3, 9, 1, 2, 9], np.uint64), np.array([0, 4, 7])
+    marks = [np.ones(7, bool), np.zeros(7, bool)]
+    _, pairs, triples = lm._grams(tokens, bounds, 3)
+    level = lm._Grams(pairs, marks, np.zeros(7, bool))
+    level.alone = level.keys == pairs[2]
+    inside = level.alone_within(bounds)
+    assert inside.tolist() == [False, False, True, True, False, False, False]
+    assert set(lm._Grams(triples, marks, inside).asked) == {int(np.searchsorted(np.unique(triples), t)) for t in triples[[0, 1, 4, 5, 6]]}

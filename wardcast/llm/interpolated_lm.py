@@ -8,14 +8,16 @@ where b is the bucket of c(context) by powers of two. Expectation-maximisation l
 counts: a part of the training texts whose n-grams are taken out of the estimates while it is predicted.
 
 Every n-gram of the corpus is counted: chunks of texts ask the owners of their distinct n-grams
-(``exchange``) for corpus counts, so a word in a third of all texts is one entry per chunk. The counts at
-each word are stored once. Maximisation needs only how many held-out words have which estimates, in a grid
+(``exchange``) for corpus counts, so a word in a third of all texts is one entry per chunk. Words and bigrams are
+asked about first, then the higher orders one by one. An owner also says which n-grams no other chunk has: what
+contains one of those is in this chunk only, so the chunk's own counts are the corpus counts and it does not ask.
+The counts at each word are stored once. Maximisation needs only how many held-out words have which estimates, in a grid
 of bounded size; that grid is all that reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ _END, _START, _STEP = np.uint64(0x5851F42D4C957F2D), 0x14057B7EF767814F, np.uint
 #: Cells of the grid: powers of two of a context's count, and steps of an estimate.
 GRID = 64
 _DOCS_A_ROW = 4096
+#: What an owner says beside the counts: nothing, which chunk asked first about a key, or if only one asked.
+_NOTHING, _FIRST, _ONLY = range(3)
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -67,16 +71,33 @@ def _unsqueeze(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
     return out, at + n + 8 * len(large)
 
 
-def _request(chunk: int, kind: int, keys: np.ndarray, counts: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    """Keys (48 bits within a bucket, all 64 for words) with how often the chunk's training texts have them."""
+def _key_bytes(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte: the low bytes are noise, the high ones nearly all alike."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    planes = [zstandard.compress(np.ascontiguousarray(steps[:, k]).tobytes(), 1) for k in range(8)]
+    return np.array([len(x) for x in planes], np.uint32).tobytes() + b"".join(planes)
+
+
+def _keys_of(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    steps = np.empty((n, 8), np.uint8)
+    sizes = np.frombuffer(data, np.uint32, 8, at).tolist()
+    at += 32
+    for k, size in enumerate(sizes):
+        steps[:, k] = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8)
+        at += size
+    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64), at
+
+
+def _request(chunk: int, kind: int, keys: np.ndarray, counts: list[np.ndarray], n: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Keys (48 bits or more within a bucket, all 64 for words) with how often the chunk's training texts have them."""
     edges = np.searchsorted(X.bucket_of(keys, n), np.arange(n + 1))
-    width = 8 if kind == 1 else 6
-    raw = keys.view(np.uint8).reshape(-1, 8)[:, :width]
+    sent = keys >> np.uint64(0 if kind == 1 else max(16 - (n - 1).bit_length(), 0))
+    wants = _FIRST if kind == 1 else _ONLY if kind < order else _NOTHING
     rows = []
     for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
         if x < y:
             packed = zstandard.compress(b"".join(_squeeze(c[x:y]) for c in counts), 1)
-            rows.append((b, np.int64(y - x).tobytes() + bytes([width]) + raw[x:y].tobytes() + packed))
+            rows.append((b, np.int64(y - x).tobytes() + bytes([wants]) + _key_bytes(sent[x:y]) + packed))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([chunk] * len(rows), pa.int32()),
@@ -89,18 +110,18 @@ def _request(chunk: int, kind: int, keys: np.ndarray, counts: list[np.ndarray],
 
 
 def _totals(blobs: list[bytes]) -> list[bytes]:
-    """For each request: corpus counts of its keys, and which of them it is the first to ask about."""
+    """For each request: corpus counts of its keys, and which of them it is the first or the only one to ask about."""
     asked, counts = [], []
     for blob in blobs:
-        n, width = int(np.frombuffer(blob, np.int64, 1)[0]), blob[8]
-        data = zstandard.decompress(blob[9 + n * width :])
-        keys = np.zeros((n, 8), np.uint8)
-        keys[:, :width] = np.frombuffer(blob, np.uint8, n * width, 9).reshape(n, width)
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        keys, at = _keys_of(blob, 9, n)
+        data = zstandard.decompress(blob[at:])
         train, at = _unsqueeze(data, n, 0)
-        asked.append(keys.reshape(-1).view(np.uint64))
+        asked.append(keys)
         counts.append((train, _unsqueeze(data, n, at)[0]))
-    known, _ = X.distinct(np.concatenate(asked))
-    total, fold, seen = (np.zeros(len(known), np.int64) for _ in range(3))
+    known, times = X.distinct(np.concatenate(asked))
+    total, fold = (np.zeros(len(known), np.int64) for _ in range(2))
+    seen = np.zeros(len(known), bool)
     places = []
     for keys, (train, part) in zip(asked, counts, strict=True):
         at = np.searchsorted(known, keys)
@@ -108,22 +129,53 @@ def _totals(blobs: list[bytes]) -> list[bytes]:
         fold[at] += part
         places.append(at)
     out = []
-    for at in places:
-        first = np.packbits(seen[at] == 0).tobytes()
-        seen[at] = 1
-        out.append(zstandard.compress(_squeeze(total[at]) + _squeeze(fold[at]) + first, 1))
+    for at, blob in zip(places, blobs, strict=True):
+        said = _squeeze(total[at]) + _squeeze(fold[at])
+        if blob[8] == _FIRST:
+            said += np.packbits(~seen[at]).tobytes()
+            seen[at] = True
+        elif blob[8] == _ONLY:
+            said += np.packbits(times[at] == 1).tobytes()
+        out.append(zstandard.compress(said, 1))
     return out
 
 
-def _answers(blobs: list[bytes], keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, sizes = np.unique(X.bucket_of(keys, n), return_counts=True)
-    parts = []
-    for blob, size in zip(blobs, sizes.tolist(), strict=True):
-        data = zstandard.decompress(blob)
-        total, at = _unsqueeze(data, size, 0)
-        fold, at = _unsqueeze(data, size, at)
-        parts.append((total, fold, np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=size)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+class _Grams:
+    """The n-grams of one order in a chunk: distinct keys, the place of each token's, and what is known of them."""
+
+    def __init__(self, grams: np.ndarray, marks: list[np.ndarray], inside: np.ndarray):
+        """``inside``: tokens whose n-gram holds one that no other chunk has."""
+        self.keys, _ = X.distinct(grams)
+        self.at = np.searchsorted(self.keys, grams)
+        self.own = [np.bincount(self.at[mark], minlength=len(self.keys)) for mark in marks]
+        self.first, self.alone = (np.zeros(len(self.keys), bool) for _ in range(2))
+        self.alone[self.at[inside]] = True
+        self.asked = np.flatnonzero(~self.alone)
+
+    def request(self, chunk: int, kind: int, n: int, order: int) -> Iterator[pa.RecordBatch]:
+        yield from _request(chunk, kind, self.keys[self.asked], [c[self.asked] for c in self.own], n, order)
+
+    def learn(self, blobs: list[bytes], n: int) -> np.ndarray:
+        """Put the owners' counts in place of the chunk's own; what they say of each key beside, false where nothing."""
+        said = np.zeros(len(self.keys), bool)
+        low = 0
+        _, sizes = np.unique(X.bucket_of(self.keys[self.asked], n), return_counts=True)
+        for blob, size in zip(blobs, sizes.tolist(), strict=True):
+            data, mine = zstandard.decompress(blob), self.asked[low : low + size]
+            self.own[0][mine], at = _unsqueeze(data, size, 0)
+            self.own[1][mine], at = _unsqueeze(data, size, at)
+            if at < len(data):
+                said[mine] = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=size)
+            low += size
+        return said
+
+    def alone_within(self, bounds: np.ndarray) -> np.ndarray:
+        """Tokens whose n-gram of the next order holds one of this order that no other chunk has."""
+        alone = self.alone[self.at]
+        before = np.zeros(len(alone), bool)
+        before[1:] = alone[:-1]
+        before[bounds[:-1]] = False
+        return alone | before
 
 
 def _log2_bucket(counts: np.ndarray) -> np.ndarray:
@@ -230,62 +282,74 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[c.alias(k) for k, c in marks.items()])
     dealt = X.chunks(rows, n)
 
+    def levels(table: pa.Table, bounds: np.ndarray, tokens: np.ndarray, got: pa.Table | None, upto: int) -> Iterator[_Grams]:
+        """The chunk's n-grams of each order up to that one, with the answers there are."""
+        marks = [np.repeat(table[c].to_numpy(), np.diff(bounds)) for c in ("train", "tune")]
+        inside = np.zeros(len(tokens), bool)
+        for k, grams in enumerate(_grams(tokens, bounds, upto), 1):
+            level = _Grams(grams, marks, inside)
+            answers = X.answered(got, k) if got is not None else []
+            if answers:
+                said = level.learn(answers, n)
+                level.first = said if k == 1 else level.first
+                level.alone |= said if k > 1 else False
+            # Words and bigrams are asked about together, so words spare no question.
+            inside = level.alone_within(bounds) if k > 1 else inside
+            yield level
+
     def ask(chunk: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         tokens, bounds = _tokens(table["text"])
-        train, tune = (np.repeat(table[c].to_numpy(), np.diff(bounds)) for c in ("train", "tune"))
-        for k, grams in enumerate(_grams(tokens, bounds, order), 1):
-            keys, _ = X.distinct(grams)
-            counts = []
-            for mark in (train, tune):
-                some, times = X.distinct(grams[mark])
-                own = np.zeros(len(keys), np.int64)
-                own[np.searchsorted(keys, some)] = times
-                counts.append(own)
-            yield from _request(chunk, k, keys, counts, n)
+        for k, level in enumerate(levels(table, bounds, tokens, None, min(order, 2)), 1):
+            yield from level.request(chunk, k, n, order)
+
+    def ask_longer(k: int) -> Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
+        def each(chunk: int, table: pa.Table, got: pa.Table) -> Iterator[pa.RecordBatch]:
+            tokens, bounds = _tokens(table["text"])
+            for level in levels(table, bounds, tokens, got, k):
+                pass
+            yield from level.request(chunk, k, n, order)
+
+        return each
 
     def look(_: int, table: pa.Table, got: pa.Table) -> Iterator[pa.RecordBatch]:
         tokens, bounds = _tokens(table["text"])
         sizes = np.diff(bounds)
         train, tune = (table[c].to_numpy() for c in ("train", "tune"))
         total, fold, types = [], [], 0
-        for k, grams in enumerate(_grams(tokens, bounds, order), 1):
-            keys, _ = X.distinct(grams)
-            every, part, first = _answers(X.answered(got, k), keys, n)
-            if k == 1:
-                types = int(((first == 1) & (every > 0)).sum())
-            at = np.searchsorted(keys, grams)
-            total.append(every[at])
-            fold.append(part[at])
+        for level in levels(table, bounds, tokens, got, order):
+            types += int((level.first & (level.own[0] > 0)).sum())
+            total.append(level.own[0][level.at])
+            fold.append(level.own[1][level.at])
+        del level, tokens
         held = np.repeat(tune, sizes)
         cells, sums = _held_out_grid([t - f for t, f in zip(total, fold, strict=True)], bounds, held)
         cells = np.concatenate((cells, [-1, -2, -3]))
         ends = [float(sizes[train].sum()), float(sizes[tune].sum()), float(types)]
         sums = np.concatenate((sums, np.vstack((ends, np.zeros((order, 3))))), axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cells), pa.array(list(sums.T), pa.list_(pa.float64())), pa.nulls(len(cells), pa.binary())],
-            names=["cell", "sums", "packed"],
+            [pa.array(cells), pa.array(list(sums.T), pa.list_(pa.float64())), *[pa.nulls(len(cells), pa.binary())] * 2],
+            names=["cell", "sums", "packed", "counts"],
         )
-        known = np.add.reduceat((total[0] > 0).astype(np.int64), bounds[:-1])
+        n_known = np.add.reduceat((total[0] > 0).astype(np.int64), bounds[:-1])
         base = np.add.reduceat(np.log10(total[0] + 1.0), bounds[:-1])
         for low in range(0, table.num_rows, _DOCS_A_ROW):
             high = min(low + _DOCS_A_ROW, table.num_rows)
             x, y = bounds[low], bounds[high]
-            edges = pa.array(bounds[low : high + 1] - x, pa.int32())
             part = pa.table(
-                {
-                    "id": table["id"].slice(low, high - low),
-                    "n_known": known[low:high],
-                    "base": base[low:high],
-                    **{f"c{k}": pa.ListArray.from_arrays(edges, pa.array(c[x:y], pa.uint32())) for k, c in enumerate(total)},
-                }
+                {"id": table["id"].slice(low, high - low), "size": sizes[low:high], "n_known": n_known[low:high], "base": base[low:high]}
             )
-            blob = pa.array([X.packed(part)], pa.binary())
+            # A column for each byte: alike bytes side by side are smaller.
+            each = [c[x:y].view(np.uint8).reshape(-1, 8) for c in total]
+            counts = pa.table({f"c{k}_{b}": np.ascontiguousarray(c[:, b]) for k, c in enumerate(each) for b in range(8)})
+            blobs = [pa.array([X.packed(t)], pa.binary()) for t in (part, counts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0]), pa.nulls(1, pa.list_(pa.float64())), blob], names=["cell", "sums", "packed"]
+                [pa.array([0]), pa.nulls(1, pa.list_(pa.float64())), *blobs], names=["cell", "sums", "packed", "counts"]
             )
 
     counted = X.by_bucket(X.per_chunk(dealt, ask, X.ASKED), n, _totals)
-    looked = saved(X.with_answers(dealt, counted, n, look, "cell long, sums array<double>, packed binary"))
+    for k in range(3, order + 1):
+        counted = counted.unionByName(X.by_bucket(X.with_answers(dealt, counted, n, ask_longer(k), X.ASKED), n, _totals))
+    looked = saved(X.with_answers(dealt, counted, n, look, "cell long, sums array<double>, packed binary, counts binary"))
     parts = [F.sum(F.col("sums")[i]) for i in range(order + 1)]
     grid = looked.where("packed is null").groupBy("cell").agg(F.array(*parts).alias("sums")).collect()
     end = {r.cell: int(r.sums[0]) for r in grid if r.cell < 0}
@@ -296,11 +360,12 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("packed"):
-                part = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
-                lists = [part[f"c{k}"].combine_chunks() for k in range(order)]
-                bounds = lists[0].offsets.to_numpy().astype(np.int64)
-                counts = [x.values.to_numpy().astype(np.int64) for x in lists]
+            for blob, more in zip(batch.column("packed"), batch.column("counts"), strict=True):
+                part, by_byte = (pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks() for x in (blob, more))
+                bounds = np.concatenate(([0], np.cumsum(part["size"].to_numpy())))
+                counts = [
+                    np.stack([by_byte[f"c{k}_{b}"].to_numpy() for b in range(8)], axis=1).reshape(-1).view(np.int64) for k in range(order)
+                ]
                 p = np.full(bounds[-1], 1.0 / (types + 1))
                 p = p * (1 - weights[0][0]) + weights[0][0] * counts[0] / max(tokens, 1)
                 for k, context in enumerate(_contexts(counts, bounds), 1):
@@ -319,4 +384,4 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
 
     kind = docs.schema[id].dataType.simpleString()
     schema = f"`{id}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return looked.where("packed is not null").select("packed").mapInArrow(score, schema)
+    return looked.where("packed is not null").select("packed", "counts").mapInArrow(score, schema)
