@@ -30,7 +30,8 @@ from wardcast.llm.storage import saved
 from wardcast.llm.words import mix, words
 
 _END, _START, _STEP = np.uint64(0x5851F42D4C957F2D), 0x14057B7EF767814F, np.uint64(0x2545F4914F6CDD1D)
-#: Cells of the grid: powers of two of a context's count, and steps of an estimate.
+#: Cells of the grid on a side: powers of two of a context's count, and of an estimate. Counts below 2^63 need no more,
+#: and words of one cell are taken to have its mean logarithm of each estimate.
 GRID = 64
 _DOCS_A_ROW = 4096
 #: What an owner says beside the counts: nothing, which chunk asked first about a key, or if only one asked.
@@ -204,12 +205,12 @@ def _held_out_grid(counts: list[np.ndarray], bounds: np.ndarray, tokens: np.ndar
         c, context = c[tokens], context[tokens]
         seen = (c > 0) & (context > 0)
         log = np.where(seen, np.log2(np.where(seen, c, 1) / np.where(seen, context, 1)), 0.0)
-        step = np.where(seen, np.minimum(1 + np.floor(-log * 4), GRID - 1), 0).astype(np.int64)
+        step = np.where(seen, np.minimum(1 + np.floor(-log), GRID - 1), 0).astype(np.int64)
         cell = (cell * GRID + np.minimum(_log2_bucket(context), GRID - 1)) * GRID + step
         logs.append(log)
     c = counts[0][tokens]
     log = np.log2(np.maximum(c, 1))
-    cell = cell * GRID + np.where(c > 0, np.minimum(1 + np.floor(log * 2), GRID - 1), 0).astype(np.int64)
+    cell = cell * GRID + np.where(c > 0, np.minimum(1 + np.floor(log), GRID - 1), 0).astype(np.int64)
     cells, place = np.unique(cell, return_inverse=True)
     sums = [np.bincount(place, minlength=len(cells)), *(np.bincount(place, x, len(cells)) for x in [*logs, log])]
     return cells, np.array(sums, np.float64)
@@ -351,11 +352,10 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
         counted = counted.unionByName(X.by_bucket(X.with_answers(dealt, counted, n, ask_longer(k), X.ASKED), n, _totals))
     looked = saved(X.with_answers(dealt, counted, n, look, "cell long, sums array<double>, packed binary, counts binary"))
     parts = [F.sum(F.col("sums")[i]) for i in range(order + 1)]
-    grid = looked.where("packed is null").groupBy("cell").agg(F.array(*parts).alias("sums")).collect()
-    end = {r.cell: int(r.sums[0]) for r in grid if r.cell < 0}
-    tokens, tuned, types = (end.get(k, 0) for k in (-1, -2, -3))
-    grid = [r for r in grid if r.cell >= 0]
-    cells, sums = np.array([r.cell for r in grid], np.int64), np.array([r.sums for r in grid]).reshape(-1, order + 1).T
+    grid = looked.where("packed is null").groupBy("cell").agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).toArrow()
+    cells, sums = grid["cell"].to_numpy(), np.array([grid[f"s{i}"].to_numpy() for i in range(order + 1)])
+    tokens, tuned, types = (int(sums[0][cells == k].sum()) for k in (-1, -2, -3))
+    cells, sums = cells[cells >= 0], sums[:, cells >= 0]
     weights = learned_weights(cells, sums, order, tokens - tuned, types)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
