@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardcast.llm.memory import lean, let_go
+
 ASKED = "chunk int, bucket int, kind int, keys binary"
 
 
@@ -44,7 +46,7 @@ def chunks(docs: DataFrame, n: int) -> DataFrame:
 
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")
     dealt = docs.select(chunk.alias("chunk"), *docs.columns)
-    return dealt.mapInArrow(pack, "chunk int, packed binary").repartitionById(n, F.col("chunk"))
+    return dealt.mapInArrow(lean(pack), "chunk int, packed binary").repartitionById(n, F.col("chunk"))
 
 
 def unpacked(blobs) -> pa.Table | None:
@@ -62,7 +64,7 @@ def per_chunk(dealt: DataFrame, each: Callable[[int, pa.Table], Iterator[pa.Reco
             table = pa.Table.from_batches(parts)
             yield from each(table["chunk"][0].as_py(), unpacked(table["packed"]))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def with_answers(
@@ -75,7 +77,9 @@ def with_answers(
             yield from each(rows["chunk"][0].as_py(), unpacked(rows["packed"]), got)
 
     def whole(rows: pa.Table, got: pa.Table) -> pa.Table:
+        let_go()
         parts = list(run(rows, got))
+        let_go()
         return pa.Table.from_batches(parts) if parts else empty
 
     empty = _empty(schema)
@@ -98,7 +102,7 @@ def unpacked_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
             for blob in batch.column(0):
                 yield from pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches()
 
-    return df.select(column).mapInArrow(read, schema)
+    return df.select(column).mapInArrow(lean(read), schema)
 
 
 def _empty(schema: str) -> pa.Table:
@@ -160,7 +164,7 @@ def by_bucket(asks: DataFrame, n: int, answer: Callable[[list[bytes]], list[byte
         columns = [table["chunk"], table["bucket"], table["kind"], pa.array(out, pa.binary())]
         yield from pa.Table.from_arrays(columns, names=["chunk", "bucket", "kind", "keys"]).to_batches(max_chunksize=512)
 
-    return asks.repartitionById(n, F.col("bucket")).mapInArrow(each, ASKED)
+    return asks.repartitionById(n, F.col("bucket")).mapInArrow(lean(each), ASKED)
 
 
 def narrow(keys: np.ndarray, width: int) -> np.ndarray:

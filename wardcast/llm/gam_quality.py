@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcast.llm.memory import lean, let_go
 from wardcast.llm.words import sequences, utf8, window_starts, words
 
 #: Text that is worked on at once; its arrays take some tens of times as much.
@@ -287,7 +288,7 @@ def with_features(docs: DataFrame, *, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), lists], names=[id, "features"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(each, f"`{id}` {kind}, features array<double>")
+    return docs.select(id, text).mapInArrow(lean(each), f"`{id}` {kind}, features array<double>")
 
 
 def to_learn_from(docs: DataFrame, labels: DataFrame, *, id: str, label: str, most: int = FIT_ROWS) -> DataFrame:
@@ -333,6 +334,7 @@ def text_score(model: Model, text: str) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [model.score(features(texts.slice(low, many))) for low, many in _slices(texts)]
+        let_go()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.col(text))
