@@ -146,8 +146,8 @@ def answered(table: pa.Table, kind: int) -> list[bytes]:
     return [x.as_py() for x in rows["keys"]]
 
 
-def by_bucket(asks: DataFrame, n: int, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Every bucket's answers, in the layout of the requests, dealt back to the chunks."""
+def by_bucket(asks: DataFrame, n: int, answer: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
+    """Every bucket's answers, in the layout of the requests, dealt back to the chunks; None is not sent."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -162,7 +162,8 @@ def by_bucket(asks: DataFrame, n: int, answer: Callable[[list[bytes]], list[byte
             for i, x in zip(mine, answer([blobs[i] for i in mine]), strict=True):
                 out[i], blobs[i] = x, b""
         columns = [table["chunk"], table["bucket"], table["kind"], pa.array(out, pa.binary())]
-        yield from pa.Table.from_arrays(columns, names=["chunk", "bucket", "kind", "keys"]).to_batches(max_chunksize=512)
+        said = pa.Table.from_arrays(columns, names=["chunk", "bucket", "kind", "keys"])
+        yield from said.filter(said["keys"].is_valid()).to_batches(max_chunksize=512)
 
     return asks.repartitionById(n, F.col("bucket")).mapInArrow(lean(each), ASKED)
 

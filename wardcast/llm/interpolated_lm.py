@@ -10,7 +10,8 @@ counts: a part of the training texts whose n-grams are taken out of the estimate
 Every n-gram of the corpus is counted: chunks of texts ask the owners of their distinct n-grams
 (``exchange``) for corpus counts, so a word in a third of all texts is one entry per chunk. Words and bigrams are
 asked about first, then the higher orders one by one. An owner also says which n-grams no other chunk has: what
-contains one of those is in this chunk only, so the chunk's own counts are the corpus counts and it does not ask.
+contains one of those is in this chunk only, so the chunk's own counts are the corpus counts and it does not ask. To ask
+about the next order a chunk needs these marks alone, one bit for each n-gram; the counts are sent once, at the end.
 The counts at each word are stored once. Maximisation needs only how many held-out words have which estimates, in a grid
 of bounded size; that grid is all that reaches the driver.
 """
@@ -141,6 +142,15 @@ def _totals(blobs: list[bytes]) -> list[bytes]:
     return out
 
 
+def _only_ones(blobs: list[bytes]) -> list[bytes | None]:
+    """For each request that wants it: which of its keys no other chunk asked about."""
+    if blobs[0][8] != _ONLY:
+        return [None] * len(blobs)
+    asked = [_keys_of(blob, 9, int(np.frombuffer(blob, np.int64, 1)[0]))[0] for blob in blobs]
+    known, times = X.distinct(np.concatenate(asked))
+    return [np.packbits(~X.among(keys, known[times > 1])).tobytes() for keys in asked]
+
+
 class _Grams:
     """The n-grams of one order in a chunk: distinct keys, the place of each token's, and what is known of them."""
 
@@ -170,6 +180,10 @@ class _Grams:
             low += size
         return said
 
+    def set_apart(self, blobs: list[bytes], n: int) -> None:
+        """Mark the n-grams of which the owners say that no other chunk has them."""
+        self.alone[self.asked] = X.bits(blobs, self.keys[self.asked], n)
+
     def alone_within(self, bounds: np.ndarray) -> np.ndarray:
         """Tokens whose n-gram of the next order holds one of this order that no other chunk has."""
         alone = self.alone[self.at]
@@ -283,14 +297,18 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[c.alias(k) for k, c in marks.items()])
     dealt = X.chunks(rows, n)
 
-    def levels(table: pa.Table, bounds: np.ndarray, tokens: np.ndarray, got: pa.Table | None, upto: int) -> Iterator[_Grams]:
-        """The chunk's n-grams of each order up to that one, with the answers there are."""
+    def levels(
+        table: pa.Table, bounds: np.ndarray, tokens: np.ndarray, got: pa.Table | None, upto: int, counted: bool = True
+    ) -> Iterator[_Grams]:
+        """The chunk's n-grams of each order up to that one, with the answers there are: counts, or only which are alone."""
         marks = [np.repeat(table[c].to_numpy(), np.diff(bounds)) for c in ("train", "tune")]
         inside = np.zeros(len(tokens), bool)
         for k, grams in enumerate(_grams(tokens, bounds, upto), 1):
             level = _Grams(grams, marks, inside)
             answers = X.answered(got, k) if got is not None else []
-            if answers:
+            if answers and not counted:
+                level.set_apart(answers, n)
+            elif answers:
                 said = level.learn(answers, n)
                 level.first = said if k == 1 else level.first
                 level.alone |= said if k > 1 else False
@@ -306,7 +324,7 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
     def ask_longer(k: int) -> Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
         def each(chunk: int, table: pa.Table, got: pa.Table) -> Iterator[pa.RecordBatch]:
             tokens, bounds = _tokens(table["text"])
-            for level in levels(table, bounds, tokens, got, k):
+            for level in levels(table, bounds, tokens, got, k, counted=False):
                 pass
             yield from level.request(chunk, k, n, order)
 
@@ -347,9 +365,12 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
                 [pa.array([0]), pa.nulls(1, pa.list_(pa.float64())), *blobs], names=["cell", "sums", "packed", "counts"]
             )
 
-    counted = X.by_bucket(X.per_chunk(dealt, ask, X.ASKED), n, _totals)
+    asks = X.per_chunk(dealt, ask, X.ASKED)
+    counted, alone = X.by_bucket(asks, n, _totals), X.by_bucket(asks, n, _only_ones)
     for k in range(3, order + 1):
-        counted = counted.unionByName(X.by_bucket(X.with_answers(dealt, counted, n, ask_longer(k), X.ASKED), n, _totals))
+        asks = X.with_answers(dealt, alone, n, ask_longer(k), X.ASKED)
+        counted = counted.unionByName(X.by_bucket(asks, n, _totals))
+        alone = alone.unionByName(X.by_bucket(asks, n, _only_ones))
     looked = saved(X.with_answers(dealt, counted, n, look, "cell long, sums array<double>, packed binary, counts binary"))
     parts = [F.sum(F.col("sums")[i]) for i in range(order + 1)]
     grid = looked.where("packed is null").groupBy("cell").agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).toArrow()
