@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +41,12 @@ def test_equal_sets_of_one_id_and_of_none_in_many_chunks(spark):
     rows += [(None, " ".join(prose(99, 12)), "s")] * 3
     got = partenum_join.near_duplicates(documents(spark, rows)).collect()
     assert ordered(got) == ordered(plain(rows, 4, 85, 100))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
+def test_keys_are_placed_even_if_they_differ_in_low_bits_only(n):
+    rng = np.random.default_rng(n)
+    for keys in (rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, max(n // 3, 1), n, dtype=np.uint64), rng.integers(0, 9, n, dtype=np.uint64) << np.uint64(60)):
+        every, place = exchange.placed(keys)
+        assert every.tolist() == np.unique(keys).tolist()
+        assert (every[place] == keys).all()

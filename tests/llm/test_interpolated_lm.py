@@ -141,6 +141,16 @@ def test_requests_tell_which_keys_were_first_or_alone(n):
                 assert at == len(got[0])
 
 
+def test_a_chunks_ngrams_are_not_looked_up_one_by_one(monkeypatch):
+    grams = lm.mix(np.arange(5000, dtype=np.uint64) % np.uint64(700))
+    marks = [np.ones(5000, bool), np.arange(5000) % 3 == 0]
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", None)
+        level = lm._Grams(grams, marks, np.zeros(5000, bool))
+    assert (level.keys[level.at] == grams).all() and len(level.keys) == 700
+    assert [int(x.sum()) for x in level.own] == [5000, 1667]
+
+
 def test_ngrams_around_one_that_no_other_chunk_has_are_not_asked_about():
     tokens, bounds = np.array([1, 2, 3, 9, 1, 2, 9], np.uint64), np.array([0, 4, 7])
     marks = [np.ones(7, bool), np.zeros(7, bool)]

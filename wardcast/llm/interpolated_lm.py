@@ -156,8 +156,7 @@ class _Grams:
 
     def __init__(self, grams: np.ndarray, marks: list[np.ndarray], inside: np.ndarray):
         """``inside``: tokens whose n-gram holds one that no other chunk has."""
-        self.keys, _ = X.distinct(grams)
-        self.at = np.searchsorted(self.keys, grams)
+        self.keys, self.at = X.placed(grams)
         self.own = [np.bincount(self.at[mark], minlength=len(self.keys)) for mark in marks]
         self.first, self.alone = (np.zeros(len(self.keys), bool) for _ in range(2))
         self.alone[self.at[inside]] = True
@@ -300,11 +299,16 @@ def scores(docs: DataFrame, *, id: str, text: str, train: Column, tune: Column,
     def levels(
         table: pa.Table, bounds: np.ndarray, tokens: np.ndarray, got: pa.Table | None, upto: int, counted: bool = True
     ) -> Iterator[_Grams]:
-        """The chunk's n-grams of each order up to that one, with the answers there are: counts, or only which are alone."""
+        """The chunk's n-grams of each order up to that one, with the answers there are: counts, or only which are alone.
+
+        Without counts, words are left out, as nothing is said of them then, and only the last order has the chunk's own.
+        """
         marks = [np.repeat(table[c].to_numpy(), np.diff(bounds)) for c in ("train", "tune")]
         inside = np.zeros(len(tokens), bool)
         for k, grams in enumerate(_grams(tokens, bounds, upto), 1):
-            level = _Grams(grams, marks, inside)
+            if k == 1 and not counted:
+                continue
+            level = _Grams(grams, marks if counted or k == upto else [], inside)
             answers = X.answered(got, k) if got is not None else []
             if answers and not counted:
                 level.set_apart(answers, n)
